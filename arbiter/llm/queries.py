@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbiter.llm import exact_dedup, mixing, quality, simhash
+from arbiter.llm import bpe, exact_dedup, langid, mixing, quality, simhash, tokenfile, toxicity
 from arbiter.llm.common import documents
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read_tokens(tokenfile.write_tokens(documents(spark, sf_dir)))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_report(documents(spark, sf_dir))
 
@@ -22,16 +26,32 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", F.floor(F.get("positions", F.lit(0))).cast("long").alias("first_position"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(documents(spark, sf_dir))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
+    "op7_bpe": op7_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
+    "op10_language_id": op10_language_id,
 }
 
 _WS = r"[\x20\x09-\x0D]+"
