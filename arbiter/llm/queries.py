@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbiter.llm import bpe, chat, exact_dedup, langid, mixing, quality, simhash, tokenfile, toxicity
+from arbiter.llm import bpe, chat, exact_dedup, langid, mixing, quality, simhash, substring, tokenfile, toxicity
 from arbiter.llm.common import documents
 
 
@@ -30,6 +30,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", F.floor(F.get("positions", F.lit(0))).cast("long").alias("first_position"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(documents(spark, sf_dir))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
