@@ -173,11 +173,11 @@ def rendered(df):
 
 def test_rendering(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, 0, "system", "s"), (2, 1, "Human ", "q1"), (2, 2, "user", "q2"), (3, 0, "assistant", "a"), (4, 5, "user", None), (5, 0, "user", "<|im_end|>"), (5, 1, "gpt", "x"), (None, None, None, "odd")]
-    u, a, s, end = (f"<|im_start|>{r}\n" for r in ("user", "assistant", "system", "")), None, None, None
     head = lambda r: f"<|im_start|>{r}\n"
     got = rendered(chat.format_chats(turns(spark, rows)))
     assert got[1] == f"{head('user')}hi<|im_end|>\n{head('assistant')}hello<|im_end|>\n"
-    assert got[2] == f"{head('system')}s<|im_end|>\n{head('user')}q1\nq2<|im_end|>\n{head('assistant')}<|im_end|>\n"
+    # A relabel costs as much as a merge and an inserted answer, and inserts nothing.
+    assert got[2] == f"{head('system')}s<|im_end|>\n{head('user')}q1<|im_end|>\n{head('assistant')}q2<|im_end|>\n"
     assert got[3] == f"{head('user')}<|im_end|>\n{head('assistant')}a<|im_end|>\n"
     assert got[4] == f"{head('user')}<|im_end|>\n{head('assistant')}<|im_end|>\n" and "< |im_end|>" in got[5] and "odd" in got[None]
 
