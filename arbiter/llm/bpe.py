@@ -6,11 +6,12 @@ independently (only the last one carries the end-of-word mark) and their ids
 are put together again. Fragments repeat far more than words do, so most come
 from a cache.
 
-Texts are first cut at ASCII white space, across which no pre-token reaches.
-A chunk is then read as the tokenizer file says: special tokens are taken from
-the raw text, the rest is normalised and cut into pre-tokens. For chunks of
-Latin letters that is done here; any other chunk is normalised and cut by the
-library's own normaliser and pre-tokenizer. The merges are made here.
+A text is read as the tokenizer file says: special tokens are taken from the
+raw text, the rest is normalised and cut into pre-tokens. For texts of Latin
+letters without special tokens that is done here at once. Any other text is
+cut at ASCII white space, across which no pre-token reaches, and chunks that
+aren't plain are normalised and cut by the library's own normaliser and
+pre-tokenizer. The merges are made here.
 
 Defined results
   null or empty text  no ids, decoded to the empty text
@@ -209,6 +210,13 @@ def pre_tokens(library, text: str) -> list[str]:
     return [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
 
 
+def plain_words(text: str, special: re.Pattern | None) -> list[str] | None:
+    """The pre-tokens of a whole text that needs neither the library's normaliser nor special tokens, else None."""
+    if _PLAIN.fullmatch(text) and not (special is not None and special.search(text)):
+        return _PATTERN.findall(text.lower())
+    return None
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each file in a worker process."""

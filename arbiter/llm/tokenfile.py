@@ -19,9 +19,9 @@ The report is the index: (shard, path, doc_id, offset, n_tokens), a Parquet
 table beside the shards. A shard's place among all ids comes from the sums of
 the shards before it; that list is as long as there are partitions.
 
-Encoding is done by the tokenizers library. Since no pre-token reaches across
-ASCII white space, texts are cut there, and the library gets each distinct
-pre-token of a batch that no cache holds.
+Encoding is done by the tokenizers library. It gets the pre-tokens of a batch
+that no cache holds, all in one call. Texts that aren't of plain Latin letters
+are cut at ASCII white space, across which no pre-token reaches.
 
 Defined results
   null or empty text  only the end id
@@ -33,6 +33,7 @@ Defined results
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbiter.llm.bpe import CACHE, VOCABULARY, Generations, chunks_of, pre_tokens
+from arbiter.llm.bpe import CACHE, VOCABULARY, Generations, chunks_of, plain_words, pre_tokens
 from arbiter.llm.common import materialise, partitions, scratch
 
 END_ID = 1
@@ -64,6 +65,7 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.cut_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.chunks = Generations(self._chunk, CACHE)
         self.words = Generations(self._one, CACHE)
@@ -76,20 +78,53 @@ class LibraryEncoder:
             return self._one(text)
         return b"".join(map(self.words.__getitem__, pre_tokens(self.library, text)))
 
+    def _learn(self, new: list[str]) -> None:
+        """Put the ids of pre-tokens into the cache by one call: joined by spaces, each stays a pre-token of its own."""
+        found = self.library.encode(" ".join(new), add_special_tokens=False)
+        ids, word = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
+        cuts = np.searchsorted(word, np.arange(len(new) + 1))
+        if not len(word) or word[-1] != len(new) - 1 or (np.diff(cuts) == 0).any():
+            for w in new:
+                self.words.put(w, self._one(w))
+            return
+        data = ids.tobytes()
+        for w, lo, hi in zip(new, (cuts[:-1] * 4).tolist(), (cuts[1:] * 4).tolist()):
+            self.words.put(w, data[lo:hi])
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [chunks_of(t or "") for t in texts]
-        fresh: set[str] = set()
-        for chunks in cut:
-            for c in set(chunks):
-                if c not in self.chunks and c not in self.chunks.old and not any(t in c for t in self.special):
-                    fresh.update(w for w in pre_tokens(self.library, c) if w not in self.words and w not in self.words.old)
-        if fresh:
-            new = list(fresh)
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                if len(w) <= 64:
-                    self.words.put(w, array("I", e.ids).tobytes())
-        return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in cut]
+        out: list[bytes | None] = []
+        waiting: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
+        new: dict[str, None] = {}
+        made: dict[str, bytes] = {}
+        for text in texts:
+            text = text or ""
+            words = plain_words(text, self.cut_special)
+            if words is None:
+                out.append(b"".join(map(self.chunks.__getitem__, chunks_of(text))))
+                continue
+            ids = list(map(self.words.get, words))
+            if None in ids:
+                at = [i for i, x in enumerate(ids) if x is None]
+                for i in at:
+                    if (known := self.words.old.get(words[i])) is None:
+                        new[words[i]] = None
+                    else:
+                        ids[i] = known
+                waiting.append((len(out), words, ids, at))
+                out.append(None)
+            else:
+                out.append(b"".join(ids))
+        if new:
+            made |= {w: self._one(w) for w in new if len(w) > 64}
+            if short := [w for w in new if len(w) <= 64]:
+                self._learn(short)
+        for k, words, ids, at in waiting:
+            for i in at:
+                w = words[i]
+                ids[i] = made[w] if ids[i] is None and w in made else self.words[w]
+            out[k] = b"".join(ids)
+        return out
 
 
 @lru_cache(maxsize=2)
