@@ -27,7 +27,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.curriculum_order(mixing.mix_plan(documents(spark, sf_dir)))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", F.floor(F.get("positions", F.lit(0))).cast("long").alias("first_position"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", F.coalesce(F.floor(F.get("positions", F.lit(0))).cast("long"), F.lit(-1)).alias("first_position"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM j JOIN r ON j.source IS NOT DISTINCT FROM r.source
 """
 
-#: Each source's place from 0, its weight, target and tape, down to copies and the first position.
+#: Each source's place from 0, its weight, target and tape, down to copies and the first position (-1 if the mix doesn't take the document).
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, md5(coalesce(doc_id::varchar, 'null')) AS key, text AS tie FROM documents),
 s0 AS (SELECT source, sum(size)::bigint AS source_size FROM d GROUP BY source),
@@ -120,7 +120,7 @@ c AS (SELECT doc_id, size, source_size, target, ramp, middle,
 y AS (SELECT *, CASE WHEN target > 0 THEN middle / target ELSE 0 END AS y FROM c),
 x AS (SELECT *, CASE WHEN ramp = 0 THEN y ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * y) - (1 - ramp)) / (2 * ramp) END AS u FROM y)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies::bigint AS copies,
-       CASE WHEN copies > 0 THEN floor((total - tilt) * u + tilt * u * u)::bigint END AS first_position
+       CASE WHEN copies > 0 THEN floor((total - tilt) * u + tilt * u * u)::bigint ELSE -1 END AS first_position
 FROM x, tt
 """
 

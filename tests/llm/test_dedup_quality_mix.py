@@ -171,8 +171,8 @@ def test_mix_meets_its_targets(spark, tmp_path):
     assert all(abs(taken[s] - want[s]) <= 18 for s in size) and sum(want.values()) == pytest.approx(sum(size.values()))
     again = op5_mixing(spark, where).collect()
     assert sorted(again) == sorted(rows)
-    places = [r.first_position for r in rows if r.first_position is not None]
-    assert places == sorted(places) or sorted(places) == sorted(r.first_position for r in again if r.first_position is not None)
+    places = [r.first_position for r in rows if r.taken]
+    assert places == sorted(places) and places[0] >= 0 and all(r.first_position == -1 for r in rows if not r.copies)
 
 
 def test_mixed_rows_stand_in_training_order(spark):
