@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from arbiter.llm import substring as sub
+from arbiter.llm.components import connected_components
 from arbiter.llm.queries import op6_substring_dedup
 
 
@@ -34,6 +35,7 @@ def test_windows_are_those_of_the_definition():
         h = w.order(f)
         c = w.least(h)
         left, right = w.reach(h, c)
+        left, right = c - left, c + right
         want = []
         for start, d in zip(w.starts.tolist(), docs):
             end = start + len(d)
@@ -98,11 +100,23 @@ def test_copies_nulls_short_and_repeated_rows(spark):
     assert sub.repeated_passages(table(spark, rows).limit(0)).count() == 0
 
 
-def test_a_full_filter_loses_nothing(spark):
-    docs, passages = planted(6)
-    df = table(spark, docs.items())
-    narrow = sub.repeated_passages(df, max_bits=1 << 15).collect()
-    assert {(x.doc_id, x.other_id) for x in narrow} == {(max(a, b), min(a, b)) for a, b, _ in passages}
+@pytest.mark.parametrize("hot", [False, True])
+def test_split_keys_link_the_same_documents(spark, monkeypatch, hot):
+    r = random.Random(12)
+    passage = " ".join(words(r, 70))
+    df = table(spark, [(i, " ".join(words(r, 50)) + " " + passage) for i in range(150)])
+    if hot:
+        keys = [x.key for x in sub.windows(df.select("doc_id", "text")).groupBy("key").count().filter("count > 1").collect()]
+        monkeypatch.setattr(sub, "hot_keys", lambda *_: tuple(keys))
+    found = sub.repeated_passages(df).collect()
+    links = spark.createDataFrame([(x.doc_id, x.other_id) for x in found], "u long, v long")
+    assert {(x.node, x.root) for x in connected_components(links).collect()} == {(i, 0) for i in range(1, 150)} and len(found) < 3 * 150
+
+
+def test_hot_keys_are_found_and_bounded(spark):
+    passage = " ".join(words(random.Random(13), 60))
+    df = table(spark, [(i, passage) for i in range(20_000)]).select("doc_id", "text")
+    assert 0 < len(sub.hot_keys(df, 8, 4)) <= sub.MAX_HOT and sub.hot_keys(df.limit(0), 8, 4) == ()
 
 
 def test_very_long_texts_and_their_copies(spark):
