@@ -86,10 +86,10 @@ def candidate_pairs(documents: DataFrame, experts: DataFrame, content: DataFrame
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def pair_scores(documents: DataFrame, experts: DataFrame, conflicts: DataFrame | None = None, config: MatchConfig | None = None, candidates: DataFrame | None = None) -> DataFrame:
-    """(document_id, expert_id, total, the five parts, eligible, reasons): the full matrix, or the rows of `candidates`."""
+def pair_scores(documents: DataFrame, experts: DataFrame, conflicts: DataFrame | None = None, config: MatchConfig | None = None, candidates: DataFrame | None = None, content: DataFrame | None = None) -> DataFrame:
+    """(document_id, expert_id, total, the five parts, eligible, reasons): the full matrix, or the rows of `candidates`. `content` may be given if it was made before."""
     config = config or MatchConfig()
-    content = content_scores(documents, experts)
+    content = content_scores(documents, experts) if content is None else content
     d = documents.select("document_id", "topics", "keywords")
     e = experts.select("expert_id", F.col("topics").alias("e_topics"), F.col("keywords").alias("e_keywords"), "capacity", F.col("seniority").cast("double").alias("seniority"), "bids", recency(config).alias("recency"))
     pairs = d.crossJoin(e) if candidates is None else candidates.join(d, "document_id").join(e, "expert_id")

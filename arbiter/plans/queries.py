@@ -109,8 +109,9 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only pairs with evidence: no pair table of the two sides is ever made."""
     documents, experts, conflicts = testdata.domain(spark, sf_dir)
-    found = scoring.candidate_pairs(documents, experts, scoring.content_scores(documents, experts), conflicts)
-    rows = scoring.pair_scores(documents, experts, conflicts, CONFIG, found)
+    content = materialise(scoring.content_scores(documents, experts), "content")
+    found = scoring.candidate_pairs(documents, experts, content, conflicts)
+    rows = scoring.pair_scores(documents, experts, conflicts, CONFIG, found, content)
     return _round(rows.select("document_id", "expert_id", "total", "eligible"), "total")
 
 
