@@ -125,3 +125,33 @@ def test_very_long_texts_and_their_copies(spark):
     rows = [(1, " ".join(long)), (2, " ".join(long[20_000:20_200])), (3, " ".join(words(r, 300)))]
     found = sub.repeated_passages(table(spark, rows)).collect()
     assert {(x.doc_id, x.other_id) for x in found} == {(2, 1)} and max(x.end_word - x.start_word for x in found) == 200
+
+
+def test_no_exact_passage_is_missed(spark):
+    """Every run of 50 words that two documents share, by brute force, links its documents."""
+    r = random.Random(14)
+    shared = [words(r, r.randint(50, 120)) for _ in range(25)]
+    docs = []
+    for i in range(120):
+        w = words(r, r.randint(20, 200))
+        for _ in range(r.randint(0, 3)):
+            at = r.randint(0, len(w))
+            w[at:at] = r.choice(shared)
+        docs.append((i, " ".join(w)))
+    docs += [(500 + i, docs[3 * i][1].replace("w1", "w2", 1)) for i in range(20)]
+    runs: dict[tuple, set[int]] = {}
+    for i, t in docs:
+        w = t.split()
+        for k in range(len(w) - 49):
+            runs.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    groups = [g for g in runs.values() if len(g) > 1]
+    found = sub.repeated_passages(table(spark, docs)).collect()
+    links = spark.createDataFrame([(x.doc_id, x.other_id) for x in found], "u long, v long")
+    root = {x.node: x.root for x in connected_components(links).collect()}
+    assert len(groups) > 500 and all(len({root.get(i, i) for i in g}) == 1 for g in groups)
+    clean = {i for i, _ in docs} - {i for g in groups for i in g}
+    texts = dict(docs)
+    for x in found:
+        a, b = texts[x.doc_id].split()[x.start_word : x.end_word], texts[x.other_id].split()[x.other_start : x.other_end]
+        assert similarity(a, b) >= 0.8
+    assert len(clean & {i for x in found for i in (x.doc_id, x.other_id)}) <= 20
