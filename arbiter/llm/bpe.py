@@ -165,7 +165,10 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.chunks.__getitem__, chunks_of(text or "")))
+        text = text or ""
+        if (words := plain_words(text, self.cut_special)) is not None:
+            return b"".join(map(self.words.__getitem__, words))
+        return b"".join(map(self.chunks.__getitem__, chunks_of(text)))
 
     def decode(self, ids: bytes) -> str:
         """As the library without a decoder: the tokens, special ones too, with a space between them."""
