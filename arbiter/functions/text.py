@@ -27,14 +27,19 @@ def _foldings() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(single), "".join(single.values()), tuple((c, f) for c, f in table.items() if len(f) > 1)
 
 
+def _special(low: Column) -> Column:
+    """Whether a text in lower case has a character that case folding changes further."""
+    one, _, several = _foldings()
+    return low.rlike("[" + one + "".join(c for c, _ in several) + "]")
+
+
 def casefold(text: Column) -> Column:
     """str.casefold. Texts without a special character take the short way."""
     one, other, several = _foldings()
     low = F.lower(text)
     steps = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in several])
     full = F.aggregate(steps, F.translate(low, one, other), lambda acc, s: F.replace(acc, s["c"], s["f"]))
-    special = "[" + one + "".join(c for c, _ in several) + "]"
-    return F.when(low.rlike(special), full).otherwise(low)
+    return F.when(_special(low), full).otherwise(low)
 
 
 def strip(text: Column) -> Column:
@@ -50,8 +55,7 @@ def _kept(tokens: Column, minimum: int, stopwords: tuple[str, ...]) -> Column:
     rule = lambda t: F.length(t) >= minimum
     if not stopwords:
         return F.filter(tokens, rule)
-    stop = F.array(*map(F.lit, stopwords))
-    return F.filter(tokens, lambda t: rule(t) & ~F.array_contains(stop, t))
+    return F.filter(tokens, lambda t: rule(t) & ~t.isin(*stopwords))
 
 
 def tokens_fold_first(text: Column, minimum: int = 2, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
@@ -61,8 +65,11 @@ def tokens_fold_first(text: Column, minimum: int = 2, stopwords: tuple[str, ...]
 
 def tokens_split_first(text: Column, minimum: int = 2, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """The expertise index's tokens: the text is split, then each token is folded."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(1))
-    return _kept(F.transform(found, casefold), minimum, stopwords)
+    text = F.coalesce(text, F.lit(""))
+    found = lambda t: F.regexp_extract_all(t, F.lit(TOKEN), F.lit(1))
+    # The order only matters for texts with a special character, and for the one letter whose lower case has a mark in it.
+    special = _special(F.lower(text)) | text.contains(chr(0x130))
+    return _kept(F.when(special, F.transform(found(text), casefold)).otherwise(found(F.lower(text))), minimum, stopwords)
 
 
 def sentences(text: Column) -> Column:
