@@ -155,3 +155,21 @@ def test_no_exact_passage_is_missed(spark):
         a, b = texts[x.doc_id].split()[x.start_word : x.end_word], texts[x.other_id].split()[x.other_start : x.other_end]
         assert similarity(a, b) >= 0.8
     assert len(clean & {i for x in found for i in (x.doc_id, x.other_id)}) <= 20
+
+
+def test_partial_variants_before_do_not_hide_a_passage(spark):
+    """Two documents with one passage are linked, whatever documents with parts of it come first."""
+    r = random.Random(15)
+    rows, pairs = [], []
+    for k in range(40):
+        passage = words(r, 60)
+        for v in range(10):
+            variant = list(passage)
+            for at in r.sample(range(60), r.randint(3, 5)):
+                variant[at] = f"x{r.randrange(10_000)}"
+            rows.append((100 * k + v, " ".join(words(r, 60) + variant + words(r, 60))))
+        rows += [(100 * k + v, " ".join(words(r, 60) + passage + words(r, 60))) for v in (50, 51)]
+        pairs.append((100 * k + 51, 100 * k + 50))
+    links = [(x.doc_id, x.other_id) for x in sub.repeated_passages(table(spark, rows)).collect()]
+    roots = {x.node: x.root for x in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert [p for p in pairs if p not in links and roots.get(p[0], p[0]) != roots.get(p[1], p[1])] == []
