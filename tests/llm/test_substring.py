@@ -173,3 +173,15 @@ def test_partial_variants_before_do_not_hide_a_passage(spark):
     links = [(x.doc_id, x.other_id) for x in sub.repeated_passages(table(spark, rows)).collect()]
     roots = {x.node: x.root for x in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert [p for p in pairs if p not in links and roots.get(p[0], p[0]) != roots.get(p[1], p[1])] == []
+
+
+@pytest.mark.parametrize("n, more", [(50, 2), (55, 3), (60, 4), (70, 7), (80, 8)])
+def test_a_passage_with_an_insertion_is_verified_from_both_sides(n, more):
+    r = random.Random(n)
+    p = words(r, n)
+    q = p[: n // 2] + words(r, more) + p[n // 2 :]
+    assert similarity(p, q) >= 0.8
+    x, y = (sub._short(" ".join(words(r, 30) + w + words(r, 30))) for w in (p, q))
+    for a, b in ((x, y), (y, x)):
+        (found,) = sub.verify(a, b)
+        assert found[4] >= 0.8 and found[1] - found[0] >= n - 8 and found[3] - found[2] >= n - 8
