@@ -36,16 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbiter.llm.pretokens import PLAIN, SPACE, BatchEncoder
+
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
-#: Entries in a generation of a cache: about 50 MB.
-CACHE = 250_000
+#: Entries in a generation of a cache: about 80 MB.
+CACHE = 400_000
 
 #: Symbols up to which merging looks through all pairs each time; a rank above all.
 SHORT, NEVER = 48, 1 << 60
 
-#: Code points for which lower() and the pattern below do what the library does: ASCII but its controls that Python calls white space, and Latin-1 and Extended-A letters. İ and the rest go to the library.
-_PLAIN = re.compile("[\x00-\x1b\x20-\x7e¡-¬®-±´-¸»¿-įĲ-ňŊ-ž]*")
 _PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
@@ -90,6 +90,7 @@ class Encoder:
         self.fragments: dict[str, bytes] = {}
         self.chunks = Generations(self.chunk)
         self.words = Generations(self.word)
+        self.batches = BatchEncoder(self.words.__getitem__, self.encode, self.cut_special)
 
     def cuts(self, symbols: str) -> list[str]:
         """A pre-token's fragments between forced boundaries."""
@@ -165,10 +166,10 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        text = text or ""
-        if (words := plain_words(text, self.cut_special)) is not None:
-            return b"".join(map(self.words.__getitem__, words))
-        return b"".join(map(self.chunks.__getitem__, chunks_of(text)))
+        return b"".join(map(self.chunks.__getitem__, chunks_of(text or "")))
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        return self.batches.encode(texts)
 
     def decode(self, ids: bytes) -> str:
         """As the library without a decoder: the tokens, special ones too, with a space between them."""
@@ -195,31 +196,21 @@ class Generations(dict):
         self[key] = value
 
 
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
-
-
 def chunks_of(text: str) -> list[str]:
     """The text cut at white space of ASCII, across which the tokenizer's pattern never matches."""
     if text.isascii() and not re.search("[\x1c-\x1f]", text):
         return text.split()
-    return [c for c in _SPACE.split(text) if c]
+    return [c for c in SPACE.split(text) if c]
 
 
 def pre_tokens(library, text: str) -> list[str]:
     """The pre-tokens of a chunk without special tokens, as normalised text."""
-    if _PLAIN.fullmatch(text):
+    if PLAIN.fullmatch(text):
         return _PATTERN.findall(text.lower())
     text = library.normalizer.normalize_str(text)
     return [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
 
 
-def plain_words(text: str, special: re.Pattern | None) -> list[str] | None:
-    """The pre-tokens of a whole text that needs neither the library's normaliser nor special tokens, else None."""
-    if _PLAIN.fullmatch(text) and not (special is not None and special.search(text)):
-        return _PATTERN.findall(text.lower())
-    return None
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each file in a worker process."""
@@ -235,8 +226,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         e = encoder(path)
         for b in batches:
             n, ids_sha, decoded_sha, all_ids, all_decoded = [], [], [], [], []
-            for t in b.column(1):
-                ids = e.encode(t.as_py())
+            for ids in e.encode_all(b.column(1).to_pylist()):
+                ids = ids.tobytes()
                 decoded = e.decode(ids)
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())

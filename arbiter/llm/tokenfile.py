@@ -19,9 +19,10 @@ The report is the index: (shard, path, doc_id, offset, n_tokens), a Parquet
 table beside the shards. A shard's place among all ids comes from the sums of
 the shards before it; that list is as long as there are partitions.
 
-Encoding is done by the tokenizers library. It gets the pre-tokens of a batch
-that no cache holds, all in one call. Texts that aren't of plain Latin letters
-are cut at ASCII white space, across which no pre-token reaches.
+Encoding is done by the tokenizers library. Texts of plain Latin letters are
+cut into pre-tokens many at a time (`pretokens`), and the library's model gets
+each distinct one that no cache holds. Other texts are cut at ASCII white
+space, across which no pre-token reaches, and normalised and cut by the library.
 
 Defined results
   null or empty text  only the end id
@@ -46,12 +47,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbiter.llm.bpe import CACHE, VOCABULARY, Generations, chunks_of, plain_words, pre_tokens
+from arbiter.llm.bpe import CACHE, VOCABULARY, Generations, byte_alphabet, chunks_of, pre_tokens
 from arbiter.llm.common import materialise, partitions, scratch
+from arbiter.llm.pretokens import BatchEncoder
 
 END_ID = 1
 LENGTH = 2048
 ROWS = 256
+STEP = 2048  # documents encoded together
 
 
 class LibraryEncoder:
@@ -68,63 +71,28 @@ class LibraryEncoder:
         self.cut_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.chunks = Generations(self._chunk, CACHE)
-        self.words = Generations(self._one, CACHE)
+        self.model, self.alphabet = self.library.model, byte_alphabet()
+        self.words = Generations(self._word, CACHE)
+        self.batches = BatchEncoder(self.words.__getitem__, self._text, self.cut_special)
 
     def _one(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _word(self, text: str) -> bytes:
+        """Ids of a pre-token, by the library's model alone."""
+        return array("I", [t.id for t in self.model.tokenize(text if text.isascii() and text.isprintable() else "".join([self.alphabet[b] for b in text.encode()]))]).tobytes()
+
     def _chunk(self, text: str) -> bytes:
         if any(t in text for t in self.special):
             return self._one(text)
         return b"".join(map(self.words.__getitem__, pre_tokens(self.library, text)))
 
-    def _learn(self, new: list[str]) -> None:
-        """Put the ids of pre-tokens into the cache by one call: joined by spaces, each stays a pre-token of its own."""
-        found = self.library.encode(" ".join(new), add_special_tokens=False)
-        ids, word = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-        cuts = np.searchsorted(word, np.arange(len(new) + 1))
-        if not len(word) or word[-1] != len(new) - 1 or (np.diff(cuts) == 0).any():
-            for w in new:
-                self.words.put(w, self._one(w))
-            return
-        data = ids.tobytes()
-        for w, lo, hi in zip(new, (cuts[:-1] * 4).tolist(), (cuts[1:] * 4).tolist()):
-            self.words.put(w, data[lo:hi])
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = []
-        waiting: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
-        new: dict[str, None] = {}
-        made: dict[str, bytes] = {}
-        for text in texts:
-            text = text or ""
-            words = plain_words(text, self.cut_special)
-            if words is None:
-                out.append(b"".join(map(self.chunks.__getitem__, chunks_of(text))))
-                continue
-            ids = list(map(self.words.get, words))
-            if None in ids:
-                at = [i for i, x in enumerate(ids) if x is None]
-                for i in at:
-                    if (known := self.words.old.get(words[i])) is None:
-                        new[words[i]] = None
-                    else:
-                        ids[i] = known
-                waiting.append((len(out), words, ids, at))
-                out.append(None)
-            else:
-                out.append(b"".join(ids))
-        if new:
-            made |= {w: self._one(w) for w in new if len(w) > 64}
-            if short := [w for w in new if len(w) <= 64]:
-                self._learn(short)
-        for k, words, ids, at in waiting:
-            for i in at:
-                w = words[i]
-                ids[i] = made[w] if ids[i] is None and w in made else self.words[w]
-            out[k] = b"".join(ids)
-        return out
+    def _text(self, text: str) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, chunks_of(text)))
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
+        return self.batches.encode(texts)
 
 
 @lru_cache(maxsize=2)
@@ -234,10 +202,11 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fs.create_dir(os.path.dirname(where), recursive=True)
                 out = ShardWriter(fs, where, dtype, length, rows)
             offsets, counts = [], []
-            for lo in range(0, b.num_rows, 64):
-                for ids in e.encode_batch(b.column(1).slice(lo, 64).to_pylist()):
+            for lo in range(0, b.num_rows, STEP):
+                for ids in e.encode_batch(b.column(1).slice(lo, STEP).to_pylist()):
                     offsets.append(out.n)
-                    out.append(np.concatenate((np.frombuffer(ids, "<u4"), end)))
+                    out.append(ids)
+                    out.append(end)
                     counts.append(out.n - offsets[-1])
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([uri] * n), b.column(0), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64())], ["shard", "path", "doc_id", "offset", "n_tokens"])
