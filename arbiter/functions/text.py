@@ -28,9 +28,14 @@ def _foldings() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 
 def _special(low: Column) -> Column:
-    """Whether a text in lower case has a character that case folding changes further."""
+    """Whether a text in lower case has a character that case folding changes further.
+
+    None is of ASCII, and most texts with other letters are told by deleting
+    the special ones, which is one pass with a table.
+    """
     one, _, several = _foldings()
-    return low.rlike("[" + one + "".join(c for c, _ in several) + "]")
+    special = one + "".join(c for c, _ in several)
+    return (F.octet_length(low) != F.length(low)) & (F.translate(low, special, "") != low)
 
 
 def casefold(text: Column) -> Column:
@@ -42,6 +47,11 @@ def casefold(text: Column) -> Column:
     return F.when(_special(low), full).otherwise(low)
 
 
+def once(value: Column) -> Column:
+    """A generator of one row: what is made of `value` later doesn't make it anew for each use."""
+    return F.explode(F.array(value))
+
+
 def strip(text: Column) -> Column:
     """str.strip."""
     return F.regexp_replace(F.regexp_replace(text, f"^[{SPACE}]+", ""), f"[{SPACE}]+$", "")
@@ -60,7 +70,12 @@ def _kept(tokens: Column, minimum: int, stopwords: tuple[str, ...]) -> Column:
 
 def tokens_fold_first(text: Column, minimum: int = 2, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """The matching scorer's and the keyphrases' tokens: the text is folded, then split."""
-    return _kept(F.regexp_extract_all(casefold(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1)), minimum, stopwords)
+    return tokens_of_folded(casefold(F.coalesce(text, F.lit(""))), minimum, stopwords)
+
+
+def tokens_of_folded(text: Column, minimum: int = 2, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+    """The same of a text that is folded already (folding it again changes nothing)."""
+    return _kept(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), minimum, stopwords)
 
 
 def tokens_split_first(text: Column, minimum: int = 2, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
@@ -82,11 +97,20 @@ def clean_labels(labels: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.coalesce(labels, F.array().cast("array<string>")), strip), lambda x: x != ""))
 
 
+def label_set(labels: Column) -> Column:
+    """The different labels after folding and stripping, without empty ones."""
+    return F.array_distinct(F.filter(F.transform(labels, lambda x: strip(casefold(x))), lambda x: x != ""))
+
+
+def set_jaccard(left: Column, right: Column) -> Column:
+    """Jaccard similarity of arrays without repeated values; 0 if both are empty."""
+    both = F.size(F.array_intersect(left, right))
+    return F.coalesce(both / F.nullif(F.size(left) + F.size(right) - both, F.lit(0)), F.lit(0.0))
+
+
 def jaccard(left: Column, right: Column) -> Column:
     """Jaccard similarity of label arrays after folding and stripping; 0 if both are empty."""
-    fold = lambda a: F.array_distinct(F.filter(F.transform(a, lambda x: strip(casefold(x))), lambda x: x != ""))
-    l, r = fold(left), fold(right)  # noqa: E741
-    return F.coalesce(F.size(F.array_intersect(l, r)) / F.nullif(F.size(F.array_union(l, r)), F.lit(0)), F.lit(0.0))
+    return set_jaccard(label_set(left), label_set(right))
 
 
 def identifier_ok(value: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbiter.config import KeyphraseConfig
-from arbiter.functions.text import casefold, sentences, tokens_fold_first
+from arbiter.functions.text import casefold, once, sentences, tokens_of_folded
 from arbiter.schemas import refuse, unique
 
 RECORD = "kind string, owner_id string, evidence_id string, token_count long, keyphrases array<struct<term:string,score:double>>"
@@ -39,8 +39,9 @@ def units(documents: DataFrame, experts: DataFrame) -> DataFrame:
 
 def tokenised(texts: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
     """(keys, lines): the kept tokens of each sentence that has any."""
-    parts = F.transform(sentences(casefold(F.col(text_col))), lambda s: tokens_fold_first(s))
-    return texts.select(*keys, F.filter(parts, lambda t: F.size(t) > 0).alias("lines"))
+    folded = texts.select(*keys, once(casefold(F.coalesce(F.col(text_col), F.lit("")))).alias("folded"))
+    parts = F.transform(sentences(F.col("folded")), lambda s: tokens_of_folded(s))
+    return folded.select(*keys, once(F.filter(parts, lambda t: F.size(t) > 0)).alias("lines"))
 
 
 def cooccurrence_edges(texts: DataFrame, *keys: str, window_size: int = 2, text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from arbiter.config import COMPONENTS, MatchConfig
 from arbiter.functions.numbers import decay, two_digits, unit
 from arbiter.functions.terms import normalised, sparse_dot, term_counts, tfidf_weights
-from arbiter.functions.text import casefold, jaccard, tokens_fold_first
+from arbiter.functions.text import casefold, label_set, once, set_jaccard, tokens_fold_first
 
 
 def _labels(name: str) -> Column:
@@ -35,8 +35,8 @@ def expert_text() -> Column:
 
 def content_scores(documents: DataFrame, experts: DataFrame) -> DataFrame:
     """(document_id, expert_id, content) for pairs that share a term."""
-    d = term_counts(documents.select("document_id", tokens_fold_first(document_text()).alias("tokens")), "document_id")
-    e = term_counts(experts.select("expert_id", tokens_fold_first(expert_text()).alias("tokens")), "expert_id")
+    d = term_counts(documents.select("document_id", once(tokens_fold_first(document_text())).alias("tokens")), "document_id")
+    e = term_counts(experts.select("expert_id", once(tokens_fold_first(expert_text())).alias("tokens")), "expert_id")
     units = documents.agg(F.count("*").alias("n")).union(experts.agg(F.count("*"))).agg(F.sum("n").alias("n"))
     both = d.select("term").unionAll(e.select("term"))
     idf = both.groupBy("term").agg(F.count("*").alias("df")).crossJoin(units)  # units is one row
@@ -60,9 +60,8 @@ def recency(config: MatchConfig) -> Column:
 
 
 def reasons() -> Column:
-    """What speaks for or against an eligible pair, in words."""
-    fold = lambda a: F.array_distinct(F.transform(_labels(a), casefold))
-    shared = F.slice(F.array_sort(F.array_intersect(fold("topics"), fold("e_topics"))), 1, 4)
+    """What speaks for or against an eligible pair, in words; its topics are folded already."""
+    shared = F.slice(F.array_sort(F.array_intersect("topics", "e_topics")), 1, 4)
     raw, content = F.col("raw_bid"), F.col("content")
     said = F.array(
         F.when(F.size(shared) > 0, F.concat(F.lit("shared topics: "), F.array_join(shared, ", "))),
@@ -90,14 +89,18 @@ def pair_scores(documents: DataFrame, experts: DataFrame, conflicts: DataFrame |
     """(document_id, expert_id, total, the five parts, eligible, reasons): the full matrix, or the rows of `candidates`. `content` may be given if it was made before."""
     config = config or MatchConfig()
     content = content_scores(documents, experts) if content is None else content
-    d = documents.select("document_id", "topics", "keywords")
-    e = experts.select("expert_id", F.col("topics").alias("e_topics"), F.col("keywords").alias("e_keywords"), "capacity", F.col("seniority").cast("double").alias("seniority"), "bids", recency(config).alias("recency"))
+    # Labels are folded once for each side, not for each pair.
+    topics = once(F.array_distinct(F.transform(_labels("topics"), casefold)))
+    labels = once(label_set(F.concat(_labels("topics"), _labels("keywords"))))
+    d = documents.select("document_id", "topics", labels.alias("labels")).select("document_id", topics.alias("topics"), "labels")
+    e = experts.select("expert_id", "topics", "capacity", F.col("seniority").cast("double").alias("seniority"), "bids", recency(config).alias("recency"), labels.alias("e_labels"))
+    e = e.select("expert_id", topics.alias("e_topics"), "capacity", "seniority", "bids", "recency", "e_labels")
     pairs = d.crossJoin(e) if candidates is None else candidates.join(d, "document_id").join(e, "expert_id")
     pairs = pairs.join(content, ["document_id", "expert_id"], "left").withColumn("content", F.coalesce("content", F.lit(0.0)))
     pairs = pairs.join(last_conflicts(conflicts), ["document_id", "expert_id"], "left") if conflicts is not None else pairs.withColumn("conflict", F.lit(None).cast("string"))
     pairs = pairs.withColumn("raw_bid", F.coalesce(F.try_element_at("bids", F.col("document_id")), F.lit(0.0)))
     pairs = pairs.withColumn("bid", (F.col("raw_bid") + 1) / 2)
-    pairs = pairs.withColumn("overlap", jaccard(F.concat(_labels("topics"), _labels("keywords")), F.concat(_labels("e_topics"), _labels("e_keywords"))))
+    pairs = pairs.withColumn("overlap", set_jaccard(F.col("labels"), F.col("e_labels")))
     weights = config.weights.normalised()
     parts = {"content": F.col("content"), "topics": F.col("overlap"), "bid": F.col("bid"), "recency": F.col("recency"), "seniority": F.col("seniority")}
     total = reduce(lambda s, x: s + x, [parts[c] * F.lit(weights[c]) for c in COMPONENTS])

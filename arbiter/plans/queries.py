@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbiter.config import CentroidConfig, ExpertiseConfig, GoldEvaluationConfig, KeyphraseConfig, MatchConfig
-from arbiter.functions.text import clean_labels, tokens_fold_first, tokens_split_first
+from arbiter.functions.text import clean_labels, once, tokens_fold_first, tokens_split_first
 from arbiter.operators import assignment, audit, centroid, evaluation, expertise, keyphrases, publish, scoring, vectors, whatif
 from arbiter.plans import testdata
 from arbiter.plans.matching import run_affinity_matching, run_matching, score_without_exclusions
@@ -36,12 +36,13 @@ def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 @query
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", tokens_fold_first(F.col("text")).alias("f"), tokens_split_first(F.col("text")).alias("s"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", once(tokens_fold_first(F.col("text"))).alias("f"))
+    rows = rows.select("doc_id", "f", once(tokens_split_first(F.col("text"))).alias("s"))
     return rows.select("doc_id", F.size("f").cast("long").alias("n_fold_first"), F.size("s").cast("long").alias("n_split_first"), F.size(F.array_distinct("f")).cast("long").alias("n_terms"))
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = testdata.sources_evidence(spark, sf_dir).withColumn("tokens", tokens_split_first(F.col("text")))
+    rows = testdata.sources_evidence(spark, sf_dir).withColumn("tokens", once(tokens_split_first(F.col("text"))))
     return rows.filter(F.size("tokens") > 0).select("expert_id", "evidence_id", "ord", "year", "tokens")
 
 
