@@ -22,6 +22,7 @@ from arbiter.plans.matching import Run, run_affinity_matching, run_matching, sco
 from arbiter.schemas import check_references
 from arbiter.sources import domain, notes, rest, sinks
 from arbiter.sources.strict import fingerprints, loads, translate
+from arbiter.storage import release
 
 
 def parser() -> argparse.ArgumentParser:
@@ -210,6 +211,7 @@ def _sources(spark: SparkSession, args: argparse.Namespace) -> dict[str, Any]:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
+    own = spark is None
     spark = spark or SparkSession.builder.appName("arbiter").getOrCreate()
     try:
         return run(args, spark)
@@ -222,6 +224,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except (DataValidationError, OSError) as error:
         print(f"error: {error}", file=sys.stderr)
         return 2
+    finally:
+        if own:
+            release(spark)
 
 
 if __name__ == "__main__":
