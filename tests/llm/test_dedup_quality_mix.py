@@ -75,6 +75,15 @@ def test_only_possible_repeats_are_grouped(spark):
     assert {2000, 2001} <= found and len(found) < 200
 
 
+@pytest.mark.parametrize("rows", [2_000, 50_000])
+def test_single_rows_pass_the_filter_however_many_there_are(spark, rows):
+    """The filter holds repeated hashes alone: with bits for these, 5 of 100 single rows at most are grouped."""
+    df = spark.range(rows + 2000).select("id", F.when(F.col("id") < 2000, F.col("id") % 1000).otherwise(F.col("id")).cast("string").alias("k"))
+    bloom, bits = exact_dedup.bloom_filter(df, "k", 32_768)
+    through = exact_dedup.probe(df, "k", bloom, bits, "maybe").filter("maybe")
+    assert bits == 16_384 * 2 and through.filter("id < 2000").count() == 2000 and through.filter("id >= 2000").count() <= 0.05 * rows
+
+
 def test_op3_reads_a_table(spark, tmp_path):
     assert op3_exact_dedup(spark, table(spark, tmp_path)).count() == len(TEXTS)
 
