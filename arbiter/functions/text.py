@@ -116,3 +116,8 @@ def jaccard(left: Column, right: Column) -> Column:
 def identifier_ok(value: Column) -> Column:
     """A non-empty, stripped, printable string."""
     return value.isNotNull() & (value != "") & (strip(value) == value) & ~value.rlike(r"[\p{C}\p{Zl}\p{Zp}]")
+
+
+def safe_term(term: Column) -> Column:
+    """A term that an index may hold: letters and numbers only, folded, of two characters and 128 bytes at most."""
+    return F.coalesce(term.rlike(r"^[\p{L}\p{N}]{2,}$") & (casefold(term) == term) & (F.octet_length(term) <= 128), F.lit(False))

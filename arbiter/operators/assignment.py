@@ -19,6 +19,7 @@ from arbiter.errors import DataValidationError
 from arbiter.operators.components import components
 from arbiter.operators.solvers import Problem, solve
 from arbiter.schemas import unique
+from arbiter.storage import materialise
 
 #: (documents, experts, admissible pairs, requested slots, total capacity) up to which a strategy is meant to run. Fixed values.
 CEILINGS = {"maximin": (6, 8, 16, None, None), "maximin-flow": (24, 48, 256, 64, 256), "fair-local": (128, 256, 4096, 512, 4096)}
@@ -68,9 +69,18 @@ def _problem(pdf: pd.DataFrame) -> Problem:
     )
 
 
+def places_of(ids: DataFrame, key: str) -> DataFrame:
+    """(key, place) with places from 0 in the order of the ids: ranges are sorted on their own and shifted by the rows before them."""
+    ranged = materialise(ids.repartitionByRange(key).sortWithinPartitions(key).select(key, F.spark_partition_id().alias("part")), "ranges")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    here = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
+    return ranged.withColumn("here", here).join(F.broadcast(before), "part").select(key, (F.col("here") + F.col("before")).alias("place"))
+
+
 def solver_input(scores: DataFrame, documents: DataFrame, experts: DataFrame, config: MatchConfig) -> DataFrame:
     """The pruned pairs with all that a kernel needs; documents without a pair stand there with no expert."""
-    places = experts.select("expert_id", (F.row_number().over(Window.orderBy("expert_id")) - 1).alias("place"))  # ids only
+    places = places_of(experts.select("expert_id"), "expert_id")
     pairs = admissible(scores, config).select("document_id", "expert_id", "total")
     pairs = pairs.join(limits(experts, config).filter("capacity > 0").join(places, "expert_id"), "expert_id")
     return demands(documents, config).join(pairs, "document_id", "left")

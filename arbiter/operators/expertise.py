@@ -236,6 +236,30 @@ def emitted(scores: DataFrame, config: ExpertiseConfig) -> DataFrame:
     return scores.filter((F.col("score") > 0) & (F.col("score") >= config.minimum_output_score)).select("document_id", "expert_id", "score")
 
 
+def evidence_name_ok(evidence: Column, owner: Column) -> Column:
+    """Whether an evidence id is one of its owner's: a profile, or a publication by id or by a place from 1."""
+    own = lambda kind: F.concat(F.lit(kind), owner)
+    rest = F.substring(evidence, F.length(own("publication:")) + 1, F.length(evidence))
+    publication = F.startswith(evidence, own("publication:")) & rest.rlike(r"^:(id:.+|position:[1-9][0-9]*)$")
+    return F.coalesce((evidence == own("profile:")) | publication, F.lit(False))
+
+
+def check_evidence(model: Model, experts: DataFrame) -> Model:
+    """The model's units and postings, made anew from the experts and its own settings, must be the same."""
+    config = model.config
+    if config.aggregation != "aggregate":
+        refuse(model.units.filter(~evidence_name_ok(F.col("evidence_id"), F.col("expert_id"))), "evidence ids must be their owner's", "evidence_id")
+    every = publication_evidence(experts, config)
+    if config.include_profile:
+        every = every.unionByName(profile_evidence(experts, config))
+    again = fit(every.filter("reason = 'retained'").drop("reason"), experts.select("expert_id"), config)
+    for name, columns in (("postings", ("unit", "term", "tf")), ("units", ("unit", "expert_id", "evidence_id", "length", "items"))):
+        mine, its = (getattr(m, name).select(*columns) for m in (model, again))
+        if not mine.exceptAll(its).isEmpty() or not its.exceptAll(mine).isEmpty():
+            raise DataValidationError(f"the model's {name} aren't those of the experts")
+    return model
+
+
 def save_model(model: Model, path: str) -> None:
     """The model's tables as Parquet below `path`, which must be new."""
     for name in ("postings", "units", "idf", "stats", "reviewers"):

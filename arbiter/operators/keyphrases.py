@@ -10,11 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbiter.config import KeyphraseConfig
-from arbiter.functions.text import casefold, once, sentences, tokens_of_folded
+from arbiter.functions.text import casefold, once, safe_term, sentences, tokens_of_folded
 from arbiter.schemas import refuse, unique
 
 RECORD = "kind string, owner_id string, evidence_id string, token_count long, keyphrases array<struct<term:string,score:double>>"
@@ -97,3 +97,21 @@ def rank_texts(texts: DataFrame, config: KeyphraseConfig | None = None) -> DataF
 
 def extract(documents: DataFrame, experts: DataFrame, config: KeyphraseConfig | None = None) -> DataFrame:
     return rank_texts(units(documents, experts), config)
+
+
+def check_records(records: DataFrame, documents: DataFrame, experts: DataFrame, config: KeyphraseConfig | None = None) -> DataFrame:
+    """Keyphrase records that were read back: identities known and unique, terms safe, one profile a reviewer, lists no longer than allowed."""
+    config = config or KeyphraseConfig()
+    unique(records, "keyphrase records", "kind", "owner_id", "evidence_id")
+    refuse(records.filter(~F.col("kind").isin("submission", "profile", "publication")), "unknown kinds of record", "kind")
+    refuse(records.filter("kind = 'submission'").join(documents, F.col("owner_id") == F.col("document_id"), "left_anti"), "records of unknown documents", "owner_id")
+    refuse(records.filter("kind <> 'submission'").join(experts, F.col("owner_id") == F.col("expert_id"), "left_anti"), "records of unknown experts", "owner_id")
+    refuse(experts.join(records.filter("kind = 'profile'"), F.col("owner_id") == F.col("expert_id"), "left_anti"), "experts without a profile record", "expert_id")
+    refuse(records.filter(F.exists("keyphrases", lambda k: ~safe_term(k["term"]) | k["score"].isNull() | (k["score"] <= 0))), "records with terms that an index can't hold", "owner_id")
+    refuse(records.filter((F.size("keyphrases") > config.top_k) | (F.size(F.array_distinct(F.transform("keyphrases", lambda k: k["term"]))) < F.size("keyphrases"))), "records with too many or repeated terms", "owner_id")
+    return records
+
+
+def read_records(spark: SparkSession, path: str, documents: DataFrame, experts: DataFrame, config: KeyphraseConfig | None = None) -> DataFrame:
+    """The records of a keyphrase run's file, checked."""
+    return check_records(spark.read.schema(RECORD).option("mode", "FAILFAST").json(path), documents, experts, config)

@@ -84,9 +84,27 @@ def load_vectors(spark: SparkSession, path: str, requests: DataFrame, dimensions
     return check_vectors(rows, requests, dimensions)
 
 
+#: Bytes of a delimited file and of one of its lines, at most. Fixed values.
+MAX_FILE_BYTES, MAX_LINE_BYTES = 64 << 20, 1 << 20
+
+
+def bounded(spark: SparkSession, path: str, most: int = MAX_FILE_BYTES, most_line: int = MAX_LINE_BYTES) -> str:
+    """The path, if its files have no more bytes than allowed, no line above its bound (LF, CR or both end one) and no NUL."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).first().n or 0
+    if size > most:
+        raise DataValidationError(f"{path} has more than {most} bytes")
+    lines = spark.read.text(path)
+    bad = lines.agg(F.max(F.octet_length("value")).alias("n"), F.max(F.col("value").contains("\x00").cast("int")).alias("nul")).first()
+    if (bad.n or 0) > most_line:
+        raise DataValidationError(f"a line has more than {most_line} bytes")
+    if bad.nul:
+        raise DataValidationError("a line has a NUL")
+    return path
+
+
 def _delimited(spark: SparkSession, path: str, fields: int, header: tuple[str, ...], optional_header: bool, separators: str) -> DataFrame:
     """(position, f): non-blank lines split at the separator of the first line; exactly `fields` fields each, quotes as in CSV."""
-    lines = spark.read.text(path, lineSep="\n").withColumn("value", F.regexp_replace(F.regexp_replace("value", "\r$", ""), "^﻿", "")).filter("trim(value) <> ''")
+    lines = spark.read.text(bounded(spark, path), lineSep="\n").withColumn("value", F.regexp_replace(F.regexp_replace("value", "\r$", ""), "^﻿", "")).filter("trim(value) <> ''")
     first = lines.withColumn("at", F.monotonically_increasing_id()).orderBy("at").limit(1).collect()
     if not first:
         raise DataValidationError("the file is empty")

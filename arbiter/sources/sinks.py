@@ -100,6 +100,35 @@ def verify_run(folder: str | Path) -> dict[str, Any]:
     return record
 
 
+class Captured:
+    """Input files as they were when a run began: taken once, and compared before anything is published."""
+
+    def __init__(self, adapter: str, limits: Mapping[str, int], **paths: str | Path):
+        self.adapter, self.limits, self.paths = adapter, dict(limits), {k: Path(v) for k, v in paths.items()}
+        self.content = {k: self._read(k) for k in self.paths}
+
+    def _read(self, name: str) -> bytes:
+        data = self.paths[name].read_bytes()
+        if name in self.limits and len(data) > self.limits[name]:
+            raise DataValidationError(f"{name} has more than {self.limits[name]} bytes")
+        return data
+
+    def record(self) -> dict[str, Any]:
+        """What a manifest keeps: the adapter with its limits, and each input's size and digest."""
+        return {"adapter": self.adapter, "limits": self.limits, "inputs": {k: {"bytes": len(v), "sha256": hashlib.sha256(v).hexdigest()} for k, v in self.content.items()}}
+
+    def verify(self) -> None:
+        if changed := [k for k in self.paths if self._read(k) != self.content[k]]:
+            raise DataValidationError(f"inputs have changed since they were read: {', '.join(changed)}")
+
+    @staticmethod
+    def same_contract(one: Mapping[str, Any], other: Mapping[str, Any]) -> None:
+        """Two runs' records must name one adapter with the same limits and the same inputs."""
+        for name in ("adapter", "limits", "inputs"):
+            if one.get(name) != other.get(name):
+                raise DataValidationError(f"the runs differ in their {name}")
+
+
 def write_table(rows: DataFrame, path: str) -> None:
     """The distributed form for results of any size."""
     rows.write.mode("errorifexists").parquet(path)
