@@ -2,46 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, as the contracts define it: space and \x09 to \x0D.
-WS = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is read from ``spark.checkpoint.dir`` (or the context's checkpoint
-    folder). Only when neither is set, as in local tests, is one made here.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="arbiter-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from arbiter.storage import materialise, scratch, shared_dir
 
+__all__ = ["materialise", "scratch", "shared_dir"]
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/arbiter/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back.
-
-    This cuts the lineage in a way that survives lost executors, and gives
-    later joins a fresh exchange with known size, so that adaptive execution
-    can broadcast a small side or split a skewed one.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: ASCII white space, as the contracts define it: space and \x09 to \x0D.
+WS = r"[\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

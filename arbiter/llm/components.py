@@ -7,9 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from arbiter.llm.common import materialise
+from arbiter.operators.components import components
 
 #: Up to so many edges (16 MB) are finished in one task; above, rounds go on.
 FINISH_ROWS = 1_000_000
@@ -58,40 +57,8 @@ def _contract(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, finish_rows: int = FINISH_ROWS, max_rounds: int = 100) -> DataFrame:
     """(node, root) for every node of the edges (u, v): root is the smallest node reachable.
 
-    Rounds of large-star and small-star (each node's larger neighbours, then
-    its smaller ones, are hung on its smallest) go on until nothing changes.
-    The minimum of a node's neighbours is a partial aggregate and is joined
-    back as a table of its own, so a node with most of the edges is split.
-    When few edges are left, one task finishes them; that is a bound on the
-    edges of that task, and no edge is dropped.
+    Rounds of large star and small star; when few edges are left, one task
+    finishes them. That is a bound on the edges of that task, and no edge is
+    dropped. If `max_rounds` don't suffice, it is an error.
     """
-    edges = edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    edges = materialise(edges, "edges")
-    before = None
-    for _ in range(max_rounds):
-        n = edges.count()
-        if n <= finish_rows:
-            edges = _contract(edges.coalesce(1))
-            break
-        state = (n, edges.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()[0])
-        if state == before:
-            break
-        before = state
-        edges = _small_star(_large_star(edges))
-    return materialise(edges.select(F.col("v").alias("node"), F.col("u").alias("root")), "components")
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
-    out = both.join(least, "u").filter("v > u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
-    return materialise(out, "large")
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    # Rows have u < v. For each v, its smaller neighbours and v itself hang on the smallest.
-    least = materialise(edges.groupBy("v").agg(F.min("u").alias("m")), "least")
-    joined = edges.join(least, "v")
-    out = joined.select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e"))
-    out = out.select("e.u", "e.v").filter("u <> v").distinct()
-    return materialise(out, "small")
+    return components(edges, max_rounds, lambda few: _contract(few.coalesce(1)), finish_rows)

@@ -6,15 +6,22 @@ there are fewer), is hashed by XXH64 with seed 42 over UTF-8. A bit is set if
 it is set in over half of the hashes. A text without words has fingerprint 0,
 which links like any other.
 
-Search. Two fingerprints with at most `radius` differing bits agree on one of
-radius + 1 bands of their bits. A shard holds the distinct fingerprints that
-agree on one band; a shard of more than `shard_rows` is cut into parts, and
-each part's tree is sent to the queries of every other part of the shard, so
-what one task holds is bounded by `shard_rows` whatever the size of a group of
-near copies. (A single tree over all documents, broadcast, would grow with the
-corpus.) In a BK-tree a child hangs from its parent by their Hamming distance
-e; a query at distance d from the parent follows only edges with
-|d - e| <= radius.
+Search. The 64 bits are cut into b blocks; two fingerprints with at most
+`radius` differing bits agree on some b - radius of them. A shard holds the
+distinct fingerprints that agree on one choice of blocks, so each stands in
+C(b, radius) shards. b is chosen by the number of fingerprints: with more of
+them the keys get wider, and a shard's size stays about the same (5 shards each
+up to some 10**6 fingerprints, 15 up to 10**9, 35 up to 10**10, then 70). Any b finds the same
+links.
+
+A shard of more than `shard_rows` is cut again by the blocks it leaves out:
+these hold all differing bits, so of radius + 1 parts of them one agrees. What
+is still larger is cut into parts, and each part's tree is sent to the queries
+of every other part of the shard, so what one task holds is bounded by
+`shard_rows` whatever the size of a group of near copies. (A single tree over
+all documents, broadcast, would grow with the corpus.) In a BK-tree a child
+hangs from its parent by their Hamming distance e; a query at distance d from
+the parent follows only edges with |d - e| <= radius.
 
 A shard's links leave it as a spanning forest, never as all pairs, and the
 forests' components are found by `components`. Fingerprints are searched once
@@ -31,6 +38,8 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +54,7 @@ RADIUS = 4
 SHINGLE = 4
 SEED = 42
 SHARD_ROWS = 2048
+PER_ROW = 500
 BLOCK = 65536
 
 
@@ -135,16 +145,47 @@ def _forest(tree_fp: np.ndarray, tree_id: np.ndarray, query_fp: np.ndarray, quer
     return links.stars()
 
 
-def shard_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def block_count(fingerprints: int, radius: int = RADIUS) -> int:
+    """Into how many blocks the bits are cut: more if shards would be large. A row in a shard costs about as much as PER_ROW comparisons."""
+    cost = lambda b: comb(b, radius) * (1 + fingerprints / 2 ** (64 * (b - radius) / b) / PER_ROW)
+    return min(range(radius + 1, radius + 9), key=cost)
+
+
+def _masks(bits: list[int], parts: int) -> list[int]:
+    """The bits dealt to so many masks in turn, in runs of about one length."""
+    cuts = [len(bits) * k // parts for k in range(parts + 1)]
+    return [sum(1 << x for x in bits[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def shard_keys(blocks: int, radius: int = RADIUS) -> list[tuple[int, list[int]]]:
+    """For each choice of blocks to agree on: the mask of their bits, and those of the parts of the other bits."""
+    every = _masks(list(range(64)), blocks)
+    out = []
+    for chosen in combinations(every, blocks - radius):
+        mask = sum(chosen)
+        out.append((mask, _masks([x for x in range(64) if not mask >> x & 1], radius + 1)))
+    return out
+
+
+def shard_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, blocks: int | None = None) -> DataFrame:
     """Edges (u, v) between ids, a spanning forest for each shard, from distinct rows (fp, id)."""
-    bands, width = radius + 1, -(-64 // (radius + 1))
-    band = [F.struct(F.lit(i).alias("band"), F.expr(f"shiftrightunsigned(fp, {i * width}) & {(1 << min(width, 64 - i * width)) - 1}").alias("value")) for i in range(bands)]
-    keyed = fps.select("fp", "id", F.explode(F.array(*band)).alias("k")).select("fp", "id", (F.col("k.value") * bands + F.col("k.band")).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    # Written: then both sides of the join are plain exchanges, of which one is broadcast if small and a skewed one is split.
-    sizes = materialise(sizes, "shards")
-    parts = F.ceil(F.col("n") / shard_rows).cast("int")
-    keyed = keyed.join(sizes, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.hash("fp"), F.col("parts")))
+    keys = shard_keys(blocks or block_count(fps.count(), radius), radius)
+    masked = lambda mask: F.col("fp").bitwiseAND(F.lit(_signed(mask)))
+    choice = [F.struct(F.lit(i).alias("choice"), F.xxhash64(F.lit(i), masked(mask)).alias("key")) for i, (mask, _) in enumerate(keys)]
+    keyed = fps.select("fp", "id", F.explode(F.array(*choice)).alias("k")).select("fp", "id", "k.choice", "k.key")
+    # Written: then the joins' sides are plain exchanges, of which one is broadcast if small and a skewed one is split.
+    large = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > shard_rows).select("key"), "large-shards")
+    rest = keyed.join(large, "key", "left_anti").select("fp", "id", "key", F.lit(1).alias("parts"))
+    parts_of = F.array(*[F.array(*[F.lit(_signed(m)) for m in masks]) for _, masks in keys])
+    cut = keyed.join(large, "key", "left_semi").select("fp", "id", "key", F.posexplode(F.get(parts_of, F.col("choice"))).alias("j", "mask"))
+    cut = cut.select("fp", "id", F.xxhash64("key", "j", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    sizes = materialise(cut.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shards")
+    cut = cut.join(sizes, "key").select("fp", "id", "key", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts"))
+    keyed = rest.unionByName(cut).withColumn("part", F.pmod(F.hash("fp"), F.col("parts")))
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("a"), F.greatest("part", j).alias("b")))
     tasks = keyed.select("fp", "id", "key", "part", F.explode(pair).alias("p")).select("key", "p.a", "p.b", "part", "fp", "id")
     n = partitions(fps.sparkSession)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -296,3 +297,42 @@ def test_component_rounds(spark, finish):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5000, 4000), (4000, 3000), (9, 9)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long"), finish_rows=finish).collect()}
     assert all(got.get(i, 0) == 0 for i in range(201)) and all(got[1000 + k] == 1000 for k in range(1, 300)) and got[5000] == 3000 and got[4000] == 3000
+
+
+def test_components_that_dont_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(401)], "u long, v long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        components.connected_components(chain, finish_rows=0, max_rounds=1)
+
+
+@pytest.mark.parametrize("blocks, shard_rows", [(5, 2048), (5, 40), (6, 10), (7, 2048), (8, 3)])
+def test_any_number_of_blocks_finds_the_same_components(spark, blocks, shard_rows):
+    r = random.Random(blocks)
+    fps = [r.getrandbits(64) for _ in range(150)]
+    for _ in range(600):
+        f = r.choice(fps)
+        for bit in r.sample(range(64), r.randint(1, 5)):
+            f ^= 1 << bit
+        fps.append(f)
+    fps = sorted(set(fps))
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, id long")
+    got = {x.node: x.root for x in components.connected_components(simhash.shard_links(df, shard_rows=shard_rows, blocks=blocks)).collect()}
+    assert {i: got.get(i, i) for i in range(len(fps))} == roots(dict(enumerate(fps)))
+
+
+def test_shards_keep_their_size_as_fingerprints_grow():
+    from math import comb
+
+    assert simhash.block_count(100_000) == simhash.block_count(1_000_000) == 5
+    for n in (10**k for k in range(3, 12)):
+        b = simhash.block_count(n)
+        assert comb(b, 4) <= (35 if n <= 10**10 else 70) and n / 2 ** (64 * (b - 4) / b) < 3_000  # rows of a fingerprint, and fingerprints of a shard
+    for b in (5, 6, 7):
+        for mask, parts in simhash.shard_keys(b):
+            assert mask | sum(parts) == (1 << 64) - 1 and sum(p.bit_count() for p in parts) + mask.bit_count() == 64
+
+
+def test_near_dedup_keeps_clashing_columns(spark):
+    df = docs(spark).withColumns({"__gone": F.lit(5), "component_id": F.lit(6), "node": F.lit(7)})
+    kept = simhash.near_dedup(df)
+    assert kept.columns == df.columns and kept.count() <= df.count() and {tuple(r) for r in kept.collect()} <= {tuple(r) for r in df.collect()}
