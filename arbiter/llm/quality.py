@@ -103,14 +103,18 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def quality_filter(docs: DataFrame, text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
     """The rows that stay, with the columns of `docs`.
 
-    Texts are read twice and counted twice; they never shuffle. Only the
-    rejected hosts are joined back.
+    Each text is counted once, beside its row, and the rows that the base rule
+    doesn't reject are written with their host: they are needed once the
+    hosts' verdicts are known. Texts never shuffle, and only the rejected hosts
+    are joined back.
     """
-    counts = features(docs, text_col, [F.col(f"`{host_col}`").alias("host")])
-    hosts = host_verdicts(counts.select("host", any_failed().alias("failed")), "host", **options)
-    host, copy, row = (fresh(docs, x) for x in ("__host", "__copy", "__row"))
-    bad = materialise(hosts.filter(~F.col("host_ok")).select(F.col("host").alias(host)), "rejected")
+    host, copy, row, failed = (fresh(docs, x) for x in ("__host", "__copy", "__row", "__failed"))
     everything = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row)
-    counted = features(docs.select(everything, F.col(f"`{text_col}`").alias(copy), F.col(f"`{host_col}`").alias(f"{host}_d")), copy, [F.col(row), F.col(f"{host}_d")])
-    good = counted.filter(~base_failed()).join(bad, F.col(f"{host}_d").eqNullSafe(F.col(host)), "left_anti")
+    counted = features(docs.select(everything, F.col(f"`{text_col}`").alias(copy), F.col(f"`{host_col}`").alias(host)), copy, [F.col(row), F.col(host)])
+    # A row that the base rule rejects counts for its host, but its text isn't written.
+    kept = F.when(~base_failed(), F.col(row)).alias(row)
+    counted = materialise(counted.select(host, any_failed().alias(failed), kept), "counted")
+    hosts = host_verdicts(counted.select(host, F.col(failed).alias("failed")), host, **options)
+    bad = materialise(hosts.filter(~F.col("host_ok")).select(F.col(host).alias(f"{host}_bad")), "rejected")
+    good = counted.filter(F.col(row).isNotNull()).join(bad, F.col(host).eqNullSafe(F.col(f"{host}_bad")), "left_anti")
     return good.select(*[F.col(row).getField(c).alias(c) for c in docs.columns])
