@@ -10,9 +10,9 @@ Runs of anything but letters count as one boundary, which has a vector too.
 Texts are read whole, in blocks.
 
 Training takes about `per_language` documents of each language, chosen by a
-hash of the id (the documented bound of the sample); prototypes are
-languages x `dims` numbers and at most `max_languages` languages are kept, so
-what is broadcast is bounded (1024 x 1024 x 4 bytes).
+hash of the id (the documented bound of the sample). Every value of the column
+is learned. What is broadcast is one prototype a value (4 KB); more than
+`MOST_LANGUAGES` values (256 MB) are refused as an error, none is dropped.
 
 Defined results
   null text, no letter  'und', score 0
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 DIMS = 1024
 SEED = 7
 PER_LANGUAGE = 1000
-MAX_LANGUAGES = 1024
+MOST_LANGUAGES = 65_536
+TOGETHER = 1024  # prototypes that a batch is multiplied with at a time
 UND = "und"
 BLOCK = 1 << 20
 ITEMS = 16384  # cached trigram vectors: 64 MB
@@ -132,10 +133,9 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, dims: int = DIMS, seed: int = SEED, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Prototypes from rows (doc_id, text, lang): the tags in order and one unit vector each."""
     known = labelled.filter("lang is not null")
-    share = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    share = share.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share"))
+    share = known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share"))
     chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(F.broadcast(share), "lang").filter(chance < F.col("share")).select("lang", "text")
+    sample = known.join(share, "lang").filter(chance < F.col("share")).select("lang", "text")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -149,7 +149,9 @@ def train(labelled: DataFrame, dims: int = DIMS, seed: int = SEED, per_language:
     # One row a language and place; rounded, so the order of the sums doesn't show.
     rows = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.round(F.sum("x"), 4).alias("x"))
     rows = rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).select("lang", F.col("v.x").alias("v")).orderBy("lang")
-    found = rows.collect()  # languages x dims numbers
+    found = rows.limit(MOST_LANGUAGES + 1).collect()  # languages x dims numbers
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     return [r.lang for r in found], _unit(np.array([r.v for r in found], np.float32).reshape(-1, dims))
 
 
@@ -165,11 +167,15 @@ def predict(docs: DataFrame, tags: list[str], prototypes: np.ndarray, id_col: st
             if names:
                 v = items(dims, seed).vectors(b.column(1).to_pylist())
                 some = v.any(axis=1)
-                cosine = np.round((_unit(v) @ profile.T).astype(np.float64), 6)
-                best = cosine.argmax(axis=1)
+                v, best, most = _unit(v), np.zeros(len(v), np.int64), np.full(len(v), -2.0)
+                for lo in range(0, len(names), TOGETHER):
+                    cosine = np.round((v @ profile[lo : lo + TOGETHER].T).astype(np.float64), 6)
+                    at = cosine.argmax(axis=1)
+                    here = cosine[np.arange(len(v)), at]
+                    best, most = np.where(here > most, lo + at, best), np.maximum(here, most)
                 for i in np.flatnonzero(some).tolist():
                     lang[i] = names[best[i]]
-                    score[i] = min(1.0, max(0.0, cosine[i, best[i]]))
+                    score[i] = min(1.0, max(0.0, most[i]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

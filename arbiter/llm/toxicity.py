@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, rows: int = ROWS
     texts = texts.select("toxic", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)).alias("o"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [(y, features(t, bits)) for b in batches for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        seen = [(y, features(t, bits).astype(np.int32)) for b in batches for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         model = FTRL(bits, **options)
         for _ in range(epochs):
             for y, at in seen:

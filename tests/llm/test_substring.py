@@ -261,3 +261,12 @@ def test_a_passage_with_an_insertion_is_verified_from_both_sides(n, more):
     for a, b in ((x, y), (y, x)):
         (found,) = sub.verify(a, b)
         assert found[4] >= 0.8 and found[1] - found[0] >= n - 8 and found[3] - found[2] >= n - 8
+
+
+def test_clashing_column_names_are_left_alone(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(21)
+    p = words(r, 80)
+    df = table(spark, [(1, " ".join(p)), (2, " ".join(words(r, 20) + p))]).withColumns({"a": F.lit(9), "b": F.lit(8), "key": F.lit("k"), "side": F.lit(0), "h": F.lit(b"x"), "place": F.lit(1)})
+    assert [(x.doc_id, x.start_word, x.end_word, x.other_id) for x in sub.repeated_passages(df).collect()] == [(2, 20, 100, 1)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 from itertools import product
@@ -289,3 +290,97 @@ def test_languages_of_nothing(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, "x", None)], "doc_id long, text string, lang string")
     assert {(r.lang_pred, r.score) for r in langid.language_report(df).collect()} == {("und", 0.0)}
     assert langid.language_report(df.limit(0)).count() == 0
+
+
+def plain_ftrl(texts, epochs, positive, alpha, beta, l1, l2):
+    """FTRL-proximal coordinate by coordinate, on feature sets; weights as a dict."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi, edge = z.get(i, 0.0), 0.0 if i == "bias" else l1
+        return 0.0 if abs(zi) <= edge else -(zi - math.copysign(edge, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for _ in range(epochs):
+        for features, y in texts:
+            for _ in range(positive if y else 1):
+                w = {i: weight(i) for i in [*features, "bias"]}
+                g = 1 / (1 + math.exp(-sum(w.values()))) - y
+                for i in w:
+                    step = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                    z[i] = z.get(i, 0.0) + g - step * w[i]
+                    n[i] = n.get(i, 0.0) + g * g
+    return {i: w for i in z if (w := weight(i)) != 0.0}
+
+
+def test_toxicity_scores_equal_a_plain_ftrl(spark):
+    """Features as word strings and weights in a dict; no two of these features share a hash."""
+    rows = corpus(90)
+    words = lambda t: [w.lower().strip("!.,") for w in t.split()]
+    grams = lambda w: {("1", *x) for x in zip(w)} | {("2", *x) for x in zip(w, w[1:])} | {("s", *x) for x in zip(w, w[2:])}
+    df = spark.createDataFrame([(i, t.upper() + "!") for i, t, _, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    order = df.select("doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1))).collect()
+    known = {i: (grams(words(t)), y) for i, t, _, y in rows}
+    assert len({f for g, _ in known.values() for f in g}) == len({f for t in df.collect() for f in toxicity.features(t.text).tolist()})
+    want = plain_ftrl([known[r.doc_id] for r in order], toxicity.EPOCHS, toxicity.POSITIVE, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    got = {r.doc_id: r.score for r in toxicity.score(df, toxicity.train(df, labels)).collect()}
+    for i, (features, _) in known.items():
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-sum(want.get(f, 0.0) for f in [*features, "bias"]))), abs=1e-5)
+
+
+def test_toxicity_of_repeated_labels_rows_and_an_empty_table(spark):
+    rows = corpus(80)
+    df = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    once = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    twice = once.union(once).union(once.select("doc_id", F.lit(0)))  # an id is toxic if any label says so
+    score = lambda labels: {r.doc_id: r.score for r in toxicity.toxicity_report(df, labels).collect()}
+    assert score(once) == score(twice)
+    assert toxicity.toxicity_report(df.limit(0), once).count() == 0
+    assert toxicity.toxicity_report(df.union(df), once).count() == 160
+
+
+def plain_profiles(rows, dims, seed):
+    """Hypervectors trigram by trigram: (vector of a text, prototypes by language)."""
+    letter = lambda c: np.random.Generator(np.random.PCG64([seed, ord(c) if c else 0])).integers(0, 2, dims) * 2 - 1
+
+    def vector(text):
+        marks = [c if c.isalpha() else "" for c in f" {text.lower()} "]
+        marks = [c for k, c in enumerate(marks) if c or k == 0 or marks[k - 1]]
+        total = np.zeros(dims)
+        for a, b, c in zip(marks, marks[1:], marks[2:]):
+            total += np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c)
+        return total
+
+    sums = {}
+    for t, lang in rows:
+        v = vector(t)
+        sums[lang] = sums.get(lang, 0) + v / np.linalg.norm(v)
+    return vector, {k: v / np.linalg.norm(v) for k, v in sums.items()}
+
+
+@pytest.mark.parametrize("together", [1024, 2])
+def test_languages_equal_plain_profiles(spark, together):
+    rows = corpus(60)
+    df = spark.createDataFrame([(i, t, g) for i, t, g, _ in rows], "doc_id long, text string, lang string").repartition(3)
+    vector, prototypes = plain_profiles([(t, g) for _, t, g, _ in rows], langid.DIMS, langid.SEED)
+    tags, found = langid.train(df)
+    assert tags == sorted(prototypes) and np.allclose(found, [prototypes[k] for k in tags], atol=1e-4)
+    got = {r.doc_id: r for r in langid.predict(df, tags, found).collect()}
+    for i, t, _, _ in rows:
+        v = vector(t)
+        cosine = {k: float(v @ p / np.linalg.norm(v)) for k, p in prototypes.items()}
+        assert got[i].lang_pred == max(cosine, key=cosine.get) and got[i].score == pytest.approx(max(cosine.values()), abs=1e-3)
+
+
+def test_equal_cosines_repeated_rows_and_many_languages(spark, monkeypatch):
+    rows = [(i, "same words here", lang) for i, lang in enumerate(["b", "a", "a", "c"] * 5)]
+    df = spark.createDataFrame(rows + rows, "doc_id long, text string, lang string")
+    tags, found = langid.train(df)
+    assert {(r.lang_pred, r.score) for r in langid.predict(df, tags, found).collect()} == {("a", 1.0)}
+    assert langid.language_report(df).count() == 40
+    many = spark.createDataFrame([(k, f"{chr(97 + k % 26) * 3} {chr(97 + k // 26) * 3}", f"l{k:03d}") for k in range(300)], "doc_id long, text string, lang string")
+    tags, found = langid.train(many)
+    assert tags == [f"l{k:03d}" for k in range(300)]
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 299)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(many)
