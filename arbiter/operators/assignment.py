@@ -38,22 +38,24 @@ def admissible(scores: DataFrame, config: MatchConfig) -> DataFrame:
     return scores.filter(F.col("eligible") & (F.col("total") >= config.minimum_score))
 
 
-def _ceilings(pairs: DataFrame, documents: DataFrame, experts: DataFrame, config: MatchConfig) -> None:
+def check_sizes(documents: DataFrame, experts: DataFrame, config: MatchConfig) -> None:
+    """Refuse a run whose documents, experts, slots or capacities are above its strategy's ceilings: before anything is scored."""
     if config.strategy not in CEILINGS or not config.enforce_ceilings:
         return
-    most = CEILINGS[config.strategy]
     d = demands(documents, config).agg(F.count("*").alias("n"), F.sum("demand").alias("slots")).first()
     e = experts.agg(F.count("*").alias("n"), F.sum("capacity").alias("room")).first()
-    # Sizes come before scores: nothing is scored for a run that is too large.
-    found = [d.n, e.n, None, d.slots, e.room]
-    names = ("documents", "experts", "eligible pairs", "requested slots", "total capacity")
-    over = [f"{most[i]} {names[i]}" for i in range(5) if most[i] is not None and found[i] is not None and found[i] > most[i]]
-    if not over and pairs.count() > most[2]:
-        over = [f"{most[2]} {names[2]}"]
+    found = {"documents": d.n, "experts": e.n, "requested slots": d.slots or 0, "total capacity": e.room or 0}
+    docs, people, _, slots, room = CEILINGS[config.strategy]
+    over = [f"{most} {name}" for (name, n), most in zip(found.items(), (docs, people, slots, room)) if most is not None and n > most]
     if over:
         raise DataValidationError(f"{config.strategy} supports at most {', '.join(over)}")
 
 
+def _check_pairs(pairs: DataFrame, config: MatchConfig) -> None:
+    if config.strategy in CEILINGS and config.enforce_ceilings and pairs.limit(CEILINGS[config.strategy][2] + 1).count() > CEILINGS[config.strategy][2]:
+        raise DataValidationError(f"{config.strategy} supports at most {CEILINGS[config.strategy][2]} eligible pairs")
+
+
 def _problem(pdf: pd.DataFrame) -> Problem:
     d = pdf.drop_duplicates("document_id")
     e = pdf[pdf["expert_id"].notna()].drop_duplicates("expert_id")
@@ -99,9 +101,10 @@ def _selected(problems: DataFrame, config: MatchConfig, *keys: str) -> DataFrame
 
 def choose(scores: DataFrame, documents: DataFrame, experts: DataFrame, config: MatchConfig, split_pairs: int = 200_000) -> DataFrame:
     """(document_id, expert_id) of the plan."""
+    check_sizes(documents, experts, config)
     pairs = admissible(scores, config)
     unique(pairs, "admissible pairs", "document_id", "expert_id")
-    _ceilings(pairs, documents, experts, config)
+    _check_pairs(pairs, config)
     rows = solver_input(scores, documents, experts, config)
     if config.strategy in ("optimal", "greedy"):
         edges = rows.filter("expert_id is not null")

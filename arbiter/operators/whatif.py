@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from arbiter.config import MatchConfig
 from arbiter.errors import DataValidationError
 from arbiter.operators import audit
-from arbiter.operators.assignment import _selected, admissible, demands, limits
+from arbiter.operators.assignment import _selected, admissible, demands, limits, places_of
 from arbiter.schemas import check_references, refuse
 from arbiter.storage import materialise
 
@@ -93,7 +93,7 @@ def compare(scenarios: tuple[Scenario, ...], scores_without_conflicts: DataFrame
     refuse(added.join(conflicts, pair, "left_semi"), "added conflicts are there already", *pair)
     keys = ["scenario", *pair]
     held = ids.crossJoin(conflicts.select(*pair).distinct()).join(removed, keys, "left_anti").unionByName(added)  # at most 9 ids
-    room = ids.crossJoin(limits(experts, config).join(experts.select("expert_id", (F.row_number().over(Window.orderBy("expert_id")) - 1).alias("place")), "expert_id"))
+    room = ids.crossJoin(limits(experts, config).join(places_of(experts.select("expert_id"), "expert_id"), "expert_id"))
     room = room.join(caps, ["scenario", "expert_id"], "left").withColumn("capacity", F.coalesce("override", "capacity")).drop("override")
     pairs = admissible(scores_without_conflicts, config).select(*pair, "total").join(room.filter("capacity > 0"), "expert_id").join(held, keys, "left_anti")
     problems = ids.crossJoin(demands(documents, config)).join(pairs, ["scenario", "document_id"], "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arbiter import schemas
 from arbiter.config import MatchConfig
 from arbiter.operators import audit
-from arbiter.operators.assignment import assign, diagnostics, run_status, unmet
+from arbiter.operators.assignment import assign, check_sizes, diagnostics, run_status, unmet
 from arbiter.operators.scoring import affinity_scores, pair_scores
 from arbiter.storage import materialise
 
@@ -79,6 +79,7 @@ class Run:
 
 
 def _run(scores: DataFrame, documents: DataFrame, experts: DataFrame, conflicts: DataFrame, config: MatchConfig) -> Run:
+    check_sizes(documents, experts, config)
     # Scores are used three times: to solve, to explain, to write. They are made once.
     scores = materialise(scores, "scores")
     assignments = materialise(assign(scores, documents, experts, config), "assignments")

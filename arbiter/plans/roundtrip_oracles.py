@@ -42,3 +42,56 @@ e AS (SELECT *, CASE event_id % 4 WHEN 0 THEN {_MS} WHEN 1 THEN {_MS} + 1 WHEN 2
 r AS (SELECT e.*, CASE WHEN event_type NOT IN (SELECT t FROM k) THEN 'invitation' WHEN date IS NULL OR date < a + (z - a) // 4 OR date > z THEN 'date' WHEN trim(coalesce(title, '')) = '' THEN 'content' ELSE 'retained' END AS reason FROM e, b)"""
 ROUNDTRIP_ORACLES["publication_reasons"] = f"WITH {_EVENTS} SELECT reason, count(*) AS n FROM r GROUP BY reason"
 ROUNDTRIP_ORACLES["publications_retained"] = f"WITH {_EVENTS} SELECT 'u' || user_id AS expert_id, 'e' || event_id AS id, title, '' AS abstract, year(make_timestamp(date * 1000))::int AS year FROM r WHERE reason = 'retained'"
+
+# Panels: 16 choices for each of 5 documents; an expert's load is a digit of base 8.
+_PANEL = """
+n AS (SELECT 'r' || n_regionkey AS d, c_mktsegment AS e, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL),
+af AS (SELECT d, e, round(n / max(n) OVER (PARTITION BY d), 4) AS s FROM n),
+ds AS (SELECT d, row_number() OVER (ORDER BY d) AS k FROM (SELECT DISTINCT d FROM af)),
+ex AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS i, CASE WHEN length(e) % 3 = 0 THEN 2 ELSE 3 END AS cap,
+         CASE WHEN length(e) % 3 > 0 THEN 'i' WHEN e > 'H' THEN 'j' END AS inst, e < 'H' AS senior FROM (SELECT DISTINCT e FROM af)),
+one AS (SELECT k, d, e, i, inst, senior, s, round(s * 1000000)::bigint AS f, 1::bigint << (3 * i)::int AS code FROM af JOIN ds USING (d) JOIN ex USING (e)),
+ch AS (SELECT k, 0 AS n, 0::bigint AS f, 0::bigint AS code, true AS apart, 0 AS juniors FROM ds
+  UNION ALL SELECT k, 1, f, code, true, (NOT senior)::int FROM one
+  UNION ALL SELECT a.k, 2, a.f + b.f, a.code + b.code, coalesce(a.inst <> b.inst, true), (NOT a.senior)::int + (NOT b.senior)::int FROM one a JOIN one b ON a.k = b.k AND a.i < b.i)"""
+_PLANS = """
+pl AS (SELECT (a.n + b.n + c.n + g.n + h.n)::bigint AS assigned, (a.f + b.f + c.f + g.f + h.f)::bigint AS fixed_score, a.code + b.code + c.code + g.code + h.code AS code
+  FROM {0} a, {0} b, {0} c, {0} g, {0} h WHERE a.k = 1 AND b.k = 2 AND c.k = 3 AND g.k = 4 AND h.k = 5),
+fit AS (SELECT * FROM pl WHERE (code & 7) <= 3 AND ((code >> 3) & 7) <= 3 AND ((code >> 6) & 7) <= 2 AND ((code >> 9) & 7) <= 2 AND ((code >> 12) & 7) <= 2)"""
+
+
+def _best(rule: str) -> str:
+    return f"WITH {_PANEL}, mine AS (SELECT * FROM ch WHERE {rule}), {_PLANS.format('mine')} SELECT assigned, fixed_score FROM fit ORDER BY assigned DESC, fixed_score DESC LIMIT 1"
+
+
+ROUNDTRIP_ORACLES["objective_diverse"] = _best("apart")
+ROUNDTRIP_ORACLES["objective_senior"] = _best("juniors <= 1")
+_LOADS = " + ".join(f"((code >> {3 * k}) & 7) * (((code >> {3 * k}) & 7) - 1)" for k in range(5))
+ROUNDTRIP_ORACLES["objective_balanced"] = f"""WITH {_PANEL}, {_PLANS.format('ch')}
+SELECT assigned, (fixed_score - 100000 * ({_LOADS}) // 2)::bigint AS penalised FROM fit ORDER BY assigned DESC, penalised DESC LIMIT 1"""
+
+# Step t is round t // 5 of document t % 5: the best expert with room that it doesn't have yet, by score less 0.1 for each document it has.
+_GREEDY = f"""WITH RECURSIVE {_PANEL},
+tab AS (SELECT list({{'k': k, 'd': d, 'e': e, 'i': i, 's': s, 'code': code, 'cap': cap}} ORDER BY e) AS l FROM one JOIN (SELECT e, cap FROM ex) USING (e)),
+g AS (SELECT 0 AS t, 0::bigint AS code, [0::bigint, 0, 0, 0, 0] AS had, NULL::varchar AS d, NULL::varchar AS e, NULL::double AS s
+  UNION ALL
+  SELECT t + 1, code + coalesce(b.code, 0), list_transform(had, lambda x, j: x + CASE WHEN j = t % 5 + 1 THEN coalesce(b.code, 0) ELSE 0 END), b.d, b.e, b.s
+  FROM (SELECT g.*, list_sort(list_transform(list_filter(l, lambda x: x.k = t % 5 + 1 AND ((g.code >> (3 * x.i)::int) & 7) < x.cap AND ((had[(t % 5 + 1)::int] >> (3 * x.i)::int) & 7) = 0),
+          lambda x: {{'v': -round(x.s - 0.1::double * ((g.code >> (3 * x.i)::int) & 7), 9), 'e': x.e, 'd': x.d, 's': x.s, 'code': x.code}}))[1] AS b FROM g, tab WHERE t < 10))"""
+ROUNDTRIP_ORACLES["greedy_plan"] = f"{_GREEDY} SELECT d AS document_id, e AS expert_id, s AS score FROM g WHERE e IS NOT NULL"
+ROUNDTRIP_ORACLES["plan_ranks"] = f"{_GREEDY} SELECT ds.d AS document_id, string_agg(e, ',' ORDER BY s DESC, e) AS by_rank, 2 - count(e) AS unmet FROM ds LEFT JOIN g ON g.d = ds.d AND e IS NOT NULL GROUP BY ds.d"
+
+_CAPS = "(code & 7) <= {0} AND ((code >> 3) & 7) <= {1} AND ((code >> 6) & 7) <= 2 AND ((code >> 9) & 7) <= 2 AND ((code >> 12) & 7) <= {2}"
+ROUNDTRIP_ORACLES["whatif_panels"] = f"""WITH {_PANEL}, {_PLANS.format('ch')},
+ok AS (SELECT * FROM ch WHERE NOT (k <= 2 AND (code & 7) > 0)), {_PLANS.format('ok').replace('pl AS', 'pl2 AS').replace('fit AS', 'fit2 AS').replace('FROM pl WHERE', 'FROM pl2 WHERE')},
+b AS (SELECT assigned, fixed_score FROM fit ORDER BY ALL DESC LIMIT 1),
+r AS (SELECT 'fewer' AS scenario, x.* FROM (SELECT assigned, fixed_score FROM pl WHERE {_CAPS.format(3, 0, 1)} ORDER BY ALL DESC LIMIT 1) x
+  UNION ALL SELECT 'conflict', x.* FROM (SELECT assigned, fixed_score FROM fit2 ORDER BY ALL DESC LIMIT 1) x)
+SELECT scenario, r.assigned - b.assigned AS assigned, b.assigned - r.assigned AS unmet, round((r.fixed_score - b.fixed_score) / 1000000.0::double, 4) AS total_score FROM r, b"""
+ROUNDTRIP_ORACLES["centroid_holdout"] = f"""WITH {_DOMAIN},
+t AS (SELECT DISTINCT p_brand AS b, list_sum(list_transform(string_split(regexp_replace(p_brand, '[^0-9]', '', 'g'), ''), lambda c: c::int))::int AS s FROM part),
+v AS (SELECT b, [((s * 2) % 7 - 3) / 3.0::double, ((s * 3) % 7 - 3) / 3.0::double, ((s * 4) % 7 - 3) / 3.0::double] AS v FROM t),
+cd AS (SELECT document_id, avg(v[1]) AS x, avg(v[2]) AS y, avg(v[3]) AS z FROM (SELECT document_id, unnest(keywords) AS b FROM d) JOIN v USING (b) GROUP BY document_id),
+ce AS (SELECT expert_id, avg(v[1]) AS x, avg(v[2]) AS y, avg(v[3]) AS z FROM (SELECT expert_id, unnest(keywords) AS b FROM e) JOIN v USING (b) GROUP BY expert_id)
+SELECT document_id, expert_id, round(1 / (1 + exp(-(cd.x * ce.x + cd.y * ce.y + cd.z * ce.z))), 6) AS score FROM cd, ce"""
+ROUNDTRIP_ORACLES["streamed_affinities"] = ORACLES["emitted_affinities"]

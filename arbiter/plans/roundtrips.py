@@ -1,4 +1,6 @@
-"""Queries of the sources and sinks: tables are written in a source's format, read back by its reader, and compared with SQL on the tables.
+"""Queries of the sources and sinks, and of plans that SQL can enumerate or replay.
+
+Tables are written in a source's format, read back by its reader, and compared with SQL on the tables.
 
 Files go to the shared scratch folder through Spark's writers, so they are as
 large as the tables and as many as the partitions.
@@ -9,15 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbiter.config import ExpertiseConfig
+from arbiter.config import CentroidConfig, ExpertiseConfig, MatchConfig
 from arbiter.functions.text import identifier_ok, safe_term
-from arbiter.operators import expertise, scoring
+from arbiter.operators import assignment, centroid, expertise, scoring, whatif
 from arbiter.operators.assignment import admissible, places_of
 from arbiter.plans import testdata
+from arbiter.plans.matching import run_affinity_matching
 from arbiter.plans.testdata import CONFIG, table
 from arbiter.sources import acquire, domain, notes
 from arbiter.sources.strict import fingerprints
 from arbiter.storage import scratch
+from arbiter.streaming.scoring import score_stream
 
 ROUNDTRIPS: dict = {}
 
@@ -247,3 +251,90 @@ def admissible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expert_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("expert_id"))
     return places_of(s, "expert_id")
+
+
+def _panel_run(spark: SparkSession, sf_dir: str, **options):
+    d, e, affinities = testdata.panels(spark, sf_dir)
+    none = d.select("document_id", F.lit("").alias("expert_id"), F.lit("").alias("reason")).limit(0)
+    return run_affinity_matching(d, e, affinities, none, MatchConfig(current_year=2002, **options)), d, e
+
+
+def _panel_objective(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    found, d, e = _panel_run(spark, sf_dir, **options)
+    return assignment.objective(found.assignments, d, e, found.config).select("assigned", "fixed_score")
+
+
+@query
+def objective_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _panel_objective(spark, sf_dir, require_distinct_institutions=True)
+
+
+@query
+def objective_senior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _panel_objective(spark, sf_dir, minimum_senior_reviewers=1)
+
+
+PENALTY = 0.1
+
+
+@query
+def objective_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score less a penalty for each further document of an expert."""
+    found, _, _ = _panel_run(spark, sf_dir, load_balance_penalty=PENALTY)
+    load = found.assignments.groupBy("expert_id").agg(F.count("*").alias("n"), F.sum(F.bround(F.col("score") * 1_000_000, 0).cast("long")).alias("s"))
+    cost = round(PENALTY * 1_000_000)
+    return load.agg(F.sum("n").alias("assigned"), F.sum(F.col("s") - F.expr(f"{cost} * n * (n - 1) div 2")).alias("penalised"))
+
+
+@query
+def greedy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs themselves: SQL replays the rounds."""
+    return _panel_run(spark, sf_dir, strategy="greedy", load_balance_penalty=PENALTY)[0].assignments.select("document_id", "expert_id", F.round("score", 4).alias("score"))
+
+
+@query
+def plan_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks, demands and what is unmet of a greedy plan."""
+    found, d, _ = _panel_run(spark, sf_dir, strategy="greedy", load_balance_penalty=PENALTY)
+    ranks = found.assignments.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "expert_id"))), lambda x: x["expert_id"]), ",").alias("by_rank"))
+    short = found.unmet.select("document_id", F.col("unmet").cast("long").alias("unmet"))
+    return d.select("document_id").join(ranks, "document_id", "left").join(short, "document_id", "left").select("document_id", "by_rank", F.coalesce("unmet", F.lit(0)).alias("unmet"))
+
+
+@query
+def whatif_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changes if an expert has no room and if a pair conflicts."""
+    d, e, affinities = testdata.panels(spark, sf_dir)
+    none = d.select("document_id", F.lit("").alias("expert_id"), F.lit("").alias("reason")).limit(0)
+    scenarios = (whatif.Scenario("fewer", {"BUILDING": 0, "MACHINERY": 1}), whatif.Scenario("conflict", {}, (("r0", "AUTOMOBILE"), ("r1", "AUTOMOBILE"))))
+    found = whatif.compare(scenarios, scoring.affinity_scores(affinities, e), d, e, none, MatchConfig(current_year=2002))
+    return found.delta.select("scenario", "assigned", "unmet", F.round("total_score", 4).alias("total_score"))
+
+
+@query
+def centroid_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by a given model: a term's vector follows from its length."""
+    d, e, _ = testdata.domain(spark, sf_dir)
+    terms = lambda df, key: df.select(key, F.transform("keywords", F.lower).alias("terms")).filter(F.size("terms") > 0)
+    d, e = terms(d, "document_id"), terms(e, "expert_id")
+    known = sorted(r.t for r in table(spark, sf_dir, "part").select(F.lower("p_brand").alias("t")).distinct().collect())  # the model's vocabulary
+    number = lambda t: sum(map(int, filter(str.isdigit, t)))
+    vectors = tuple(tuple((number(t) * (j + 2) % 7 - 3) / 3 for j in range(3)) for t in known)
+    model = centroid.CentroidModel(CentroidConfig(), tuple(known), vectors, 1, 1.0, ())
+    return centroid.score(model, d, e)
+
+
+@query
+def streamed_affinities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions that arrive as a stream, scored by the stored model: the same as a batch."""
+    from dataclasses import replace
+
+    from arbiter.plans.queries import _fitted
+
+    fitted, submissions = _fitted(spark, sf_dir, "bm25", "max")
+    model = replace(fitted, config=replace(fitted.config, minimum_output_score=0.5))
+    arrivals, out, state = (scratch(spark, x) for x in ("arrivals", "streamed", "stream-state"))
+    rows = testdata.passages(spark, sf_dir)
+    rows.write.parquet(arrivals)
+    score_stream(spark.readStream.schema(rows.schema).parquet(arrivals), model, out, state).awaitTermination()
+    return spark.read.schema("document_id string, expert_id string, score double").parquet(f"{out}/batch=*").withColumn("score", F.round("score", 6))

@@ -160,3 +160,18 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     v = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("paper_id"), "embedding", F.concat(F.lit("l"), F.col("label").cast("string")).alias("expert_id"), F.col("vec_id").alias("ord"), (F.col("vec_id") % 10 == 0).alias("asked"))
     subs, pubs = v.filter("asked"), v.filter("not asked")
     return subs.select("paper_id", "embedding"), pubs.select("paper_id", "embedding"), pubs.select("expert_id", "paper_id", "ord"), v.select("expert_id").distinct()
+
+
+def panels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, experts, affinities): regions that ask for two market segments each, by their share of the region's customers.
+
+    Small enough that SQL can enumerate all plans, with institutions, seniors and capacities of 2 and 3.
+    """
+    c = table(spark, sf_dir, "customer").select("c_mktsegment", F.col("c_nationkey").alias("n_nationkey")).join(table(spark, sf_dir, "nation"), "n_nationkey")
+    c = c.groupBy(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("document_id"), F.col("c_mktsegment").alias("expert_id")).agg(F.count("*").alias("n"))
+    most = c.groupBy("document_id").agg(F.max("n").alias("most"))
+    affinities = c.join(most, "document_id").select("document_id", "expert_id", F.round(F.col("n") / F.col("most"), 4).alias("score"))
+    d = c.select("document_id").distinct().withColumns({"title": F.col("document_id"), "required_experts": F.lit(2)})
+    place = F.length("expert_id") % 3  # AUTOMOBILE 1, BUILDING 2, FURNITURE 0, HOUSEHOLD 0, MACHINERY 0
+    e = c.select("expert_id").distinct().withColumns({"name": F.col("expert_id"), "capacity": F.when(place == 0, 2).otherwise(3), "institution": F.when(place > 0, F.lit("i")).when(F.col("expert_id") > "H", F.lit("j")), "seniority": F.when(F.col("expert_id") < "H", 1.0).otherwise(0.0)})
+    return d, e, affinities
