@@ -18,9 +18,10 @@ from arbiter.deploy import ship
 from arbiter.errors import DataValidationError
 from arbiter.operators import audit, centroid, evaluation, expertise, keyphrases, report, vectors, whatif
 from arbiter.operators.scoring import pair_scores
-from arbiter.plans.matching import Run, run_affinity_matching, run_matching, score_without_exclusions
+from arbiter.plans.matching import Run, audit_record, run_affinity_matching, run_matching, score_without_exclusions
 from arbiter.schemas import check_references
-from arbiter.sources import domain, notes, rest, sinks
+from arbiter.sources import acquire, domain, notes, rest, sinks
+from arbiter.sources.artifacts import FrozenVectors, read_plan
 from arbiter.sources.strict import fingerprints, loads, translate
 from arbiter.storage import release
 
@@ -51,12 +52,20 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--capacity", type=int, default=3)
     c = command("fetch-notes", "read the notes of a venue", "base-url", "invitation")
     c.add_argument("--group")
+    c.add_argument("--publications", action="store_true", help="the members' publications too")
+    c.add_argument("--publication-invitation", action="append", default=[])
+    c.add_argument("--minimum-date", type=int, help="UTC milliseconds")
+    c.add_argument("--maximum-date", type=int, help="UTC milliseconds")
     command("expertise", "score expertise from evidence", "documents", "experts")
-    c = command("expertise-embedding", "score expertise from vectors", "documents", "experts", "submission-vectors", "publication-vectors")
+    c = command("expertise-embedding", "score expertise from vectors", "documents", "experts")
+    c.add_argument("--vectors", help="a folder with a manifest")
+    c.add_argument("--submission-vectors")
+    c.add_argument("--publication-vectors")
     c.add_argument("--aggregation", choices=("max", "average", "centroid"), default="max")
     c.add_argument("--dimensions", type=int, default=768)
     command("extract-keyphrases", "rank keyphrases of all evidence", "documents", "experts")
-    command("expertise-centroid", "train keyphrase centroids and score the rest", "documents", "experts", "train", "validation")
+    command("expertise-centroid", "train keyphrase centroids and score the rest", "documents", "experts", "train", "validation").add_argument("--keyphrases", help="a keyphrase run's file, read instead of ranking anew")
+    sub.choices["expertise-centroid"].add_argument("--conflicts")
     command("evaluate-gold", "evaluate scores against judgments", "judgments", "affinities")
     return p
 
@@ -102,12 +111,18 @@ def _finish(run: Run, args: argparse.Namespace) -> int:
 def _fetch(spark: SparkSession, args: argparse.Namespace, client: rest.Client | None = None) -> int:
     client = client or rest.Client(args.base_url, token=os.environ.get("REVIEW_SITE_TOKEN"))
     lines = lambda rows: [(json.dumps(r, sort_keys=True, ensure_ascii=False) + "\n").encode() for r in rows]
+    reasons: dict[str, int] = {}
     files = {"submissions.jsonl": lines(client.notes(invitation=args.invitation))}
     if args.group:
         members = client.group_members(args.group)
+        budget = acquire.Budget()
         files["reviewers.txt"] = [f"{m}\n".encode() for m in members]
-        files["profiles.jsonl"] = lines(client.profile(m) for m in members)
-    sinks.write_run(args.output, files, {"schema_version": 1, "invitation": args.invitation, "requests": client.requests})
+        files["profiles.jsonl"] = (budget.line(acquire.minimal_profile(client.profile(m))) for m in members)
+        if args.publications:
+            files["reviewer-publications.jsonl"], reasons = acquire.publications(client, members, tuple(args.publication_invitation), args.minimum_date, args.maximum_date, budget)
+    elif args.publications:
+        raise DataValidationError("publications are those of a group's members")
+    sinks.write_run(args.output, files, {"schema_version": 1, "invitation": args.invitation, "publications": reasons})
     return 0
 
 
@@ -141,13 +156,13 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         return 0
     if name == "audit":
         d, e, c = _tables(spark, args)
-        plan = loads(Path(args.plan).read_text(encoding="utf-8"))
+        plan = read_plan(loads(Path(args.plan).read_text(encoding="utf-8")))
         rows = [(a["document_id"], a["expert_id"], float(a["score"]), k) for k, a in enumerate(plan["assignments"])]
         table = spark.createDataFrame(rows, "document_id string, expert_id string, score double, position long")
         match = MatchConfig.from_mapping(config)
-        one = audit.summary(audit.tables(table, d, e, c, match.reviewers_per_document), match.require_distinct_institutions).first()
-        sinks.write_json(args.output, one.asDict())
-        return 0 if one.safe else 2
+        found = audit_record(audit.tables(table, d, e, c, match.reviewers_per_document), match.require_distinct_institutions)
+        sinks.write_json(args.output, found)
+        return 0 if found["safe"] else 2
     if name == "import-notes":
         d, e = notes.load_submissions(spark, args.notes), notes.load_reviewer_ids(spark, args.reviewers, args.capacity)
         rename = lambda df, key: df.withColumnRenamed(key, "id")
@@ -161,16 +176,31 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         corpus = expertise.build_corpus(d, e, chosen)
         scores = expertise.score(expertise.fit(corpus.evidence, corpus.reviewers, chosen), corpus.submissions, contributions=True)
         filters = {r.reason: r.n for r in corpus.filters.collect()}
-        files = {"affinities.csv": sinks.affinity_lines(expertise.emitted(scores, chosen)), "explanations.jsonl": sinks.jsonl(scores, "document_id", "expert_id")}
+        model = expertise.fit(corpus.evidence, corpus.reviewers, chosen)
+        files = {
+            "documents.jsonl": _domain_lines(d.withColumnRenamed("document_id", "id")), "experts.jsonl": _domain_lines(e.withColumnRenamed("expert_id", "id")),
+            "submission-evidence.jsonl": sinks.jsonl(corpus.submissions, "document_id"), "reviewer-evidence.jsonl": sinks.jsonl(corpus.evidence, "expert_id", "ord", "evidence_id"),
+            "affinities.csv": sinks.affinity_lines(expertise.emitted(scores, chosen)), "explanations.jsonl": sinks.jsonl(scores, "document_id", "expert_id"),
+            "model-units.jsonl": sinks.jsonl(model.units, "unit"), "model-postings.jsonl": sinks.jsonl(model.postings, "unit", "term"), "model-terms.jsonl": sinks.jsonl(model.idf, "term"),
+        }
         sinks.write_run(args.output, files, {"schema_version": 1, "model": chosen.model, "aggregation": chosen.aggregation, "filters": filters, "sources": _sources(spark, args)})
         return 0
     if name == "expertise-embedding":
         d, e, _ = _tables(spark, args)
         s, p, a = vectors.embedding_requests(d, e)
-        sv, pv = domain.load_vectors(spark, args.submission_vectors, s, args.dimensions), domain.load_vectors(spark, args.publication_vectors, p, args.dimensions)
+        if args.vectors:
+            frozen = FrozenVectors(args.vectors)
+            sv, pv = frozen.load(spark, s, p, args.dimensions)
+        elif args.submission_vectors and args.publication_vectors:
+            frozen = None
+            sv, pv = domain.load_vectors(spark, args.submission_vectors, s, args.dimensions), domain.load_vectors(spark, args.publication_vectors, p, args.dimensions)
+        else:
+            raise DataValidationError("a folder of vectors or both vector files are required")
         scores = vectors.embedding_expertise(sv, pv, a, e, args.aggregation, args.dimensions)
         files = {"affinities.csv": sinks.affinity_lines(scores.filter("score > 0")), "scores.jsonl": sinks.jsonl(scores, "document_id", "expert_id")}
-        sinks.write_run(args.output, files, {"schema_version": 1, "aggregation": args.aggregation, "sources": _sources(spark, args)})
+        if frozen:
+            frozen.inputs.verify()
+        sinks.write_run(args.output, files, {"schema_version": 1, "aggregation": args.aggregation, "encoder": frozen.encoder if frozen else None, "sources": _sources(spark, args)})
         return 0
     if name == "extract-keyphrases":
         d, e, _ = _tables(spark, args)
@@ -180,11 +210,18 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     if name == "expertise-centroid":
         d, e, _ = _tables(spark, args)
         train, validation = domain.load_triplets(spark, args.train), domain.load_triplets(spark, args.validation)
-        docs, experts = centroid.terms_of(keyphrases.extract(d, e))
+        found = keyphrases.read_records(spark, args.keyphrases, d, e) if args.keyphrases else keyphrases.extract(d, e)
+        docs, experts = centroid.terms_of(found)
         model = centroid.train(train, validation, docs, experts, CentroidConfig(**config))
         holdout = docs.join(train.unionByName(validation).select("document_id"), "document_id", "left_anti")
         scores = centroid.score(model, holdout, experts)
-        sinks.write_run(args.output, {"model.json": model.to_bytes(), "affinities.csv": sinks.affinity_lines(scores, 6)}, {"schema_version": 1, "best_epoch": model.best_epoch, "sources": _sources(spark, args)})
+        asked = d.join(holdout.select("document_id"), "document_id", "left_semi")
+        c = domain.load_conflicts(spark, args.conflicts).join(asked.select("document_id"), "document_id", "left_semi").select("document_id", "expert_id", "reason")
+        files = {
+            "model.json": model.to_bytes(), "affinities.csv": sinks.affinity_lines(scores, 6), "documents.jsonl": _domain_lines(asked.withColumnRenamed("document_id", "id")),
+            "experts.jsonl": _domain_lines(e.withColumnRenamed("expert_id", "id")), "conflicts.jsonl": sinks.jsonl(c, "document_id", "expert_id"),
+        }
+        sinks.write_run(args.output, files, {"schema_version": 1, "best_epoch": model.best_epoch, "sources": _sources(spark, args)})
         return 0
     chosen = GoldEvaluationConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in config.items()})
     record = evaluation.report(domain.load_judgments(spark, args.judgments), domain.load_affinities(spark, args.affinities), chosen)

@@ -32,6 +32,7 @@ def _known(cls: type, values: Mapping[str, Any]) -> dict[str, Any]:
     return dict(values)
 
 
+#: The parts' names and defaults.
 @dataclass(frozen=True)
 class ScoreWeights:
     content: float = 0.50
@@ -56,6 +57,7 @@ class ScoreWeights:
         return {c: getattr(self, c) / total for c in COMPONENTS}
 
 
+#: The settings' names, defaults and bounds.
 @dataclass(frozen=True)
 class MatchConfig:
     reviewers_per_document: int = 2
@@ -122,6 +124,7 @@ LIMITS = (
 )
 
 
+#: The settings' names, defaults and bounds.
 @dataclass(frozen=True)
 class ExpertiseConfig:
     model: str = "tfidf"
@@ -182,6 +185,7 @@ class ExpertiseConfig:
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in known.items()})
 
 
+#: The settings' names, defaults and bounds.
 @dataclass(frozen=True)
 class KeyphraseConfig:
     window_size: int = 2
@@ -196,6 +200,7 @@ class KeyphraseConfig:
         _whole("top_k", self.top_k, 1, 1000)
 
 
+#: The settings' names, defaults and bounds.
 @dataclass(frozen=True)
 class CentroidConfig:
     dimensions: int = 8
@@ -212,6 +217,7 @@ class CentroidConfig:
         _whole("seed", self.seed, 0, 2**32 - 1)
 
 
+#: The settings' names, defaults and bounds.
 @dataclass(frozen=True)
 class GoldEvaluationConfig:
     k_values: tuple[int, ...] = (1, 3, 5, 10)

@@ -64,18 +64,22 @@ class Run:
         }
 
     def audit_record(self) -> dict:
-        found = self.audit_tables()
-        one = audit.summary(found, self.config.require_distinct_institutions).first()
-        listed: dict[str, list] = {k: [] for k in (*audit.UNSAFE, "institution_duplicates")}
-        for r in audit.violations(found).orderBy("kind", "document_id", "expert_id", "institution").toLocalIterator():
-            ids = [x for x in (r.document_id, r.expert_id, r.institution) if x is not None]
-            listed[r.kind].append(ids[0] if len(ids) == 1 else ids)
-        duplicates: dict[str, list] = {}
-        for d, i in listed.pop("institution_duplicates"):
-            duplicates.setdefault(d, []).append(i)
-        figures = {k: one[k] for k in ("document_coverage", "demand_coverage", "average_score", "minimum_score", "workload_gini", "safe")}
-        workload = {r.expert_id: r.load for r in found["workload"].orderBy("expert_id").toLocalIterator()}
-        return {**figures, **listed, "institution_duplicates": duplicates, "institution_diversity_required": self.config.require_distinct_institutions, "workload": workload}
+        return audit_record(self.audit_tables(), self.config.require_distinct_institutions)
+
+
+def audit_record(found: dict[str, DataFrame], distinct_institutions: bool) -> dict:
+    """An audit as one JSON-ready record: figures, lists of what is broken, loads."""
+    one = audit.summary(found, distinct_institutions).first()
+    listed: dict[str, list] = {k: [] for k in (*audit.UNSAFE, "institution_duplicates")}
+    for r in audit.violations(found).orderBy("kind", "document_id", "expert_id", "institution").toLocalIterator():
+        ids = [x for x in (r.document_id, r.expert_id, r.institution) if x is not None]
+        listed[r.kind].append(ids[0] if len(ids) == 1 else ids)
+    duplicates: dict[str, list] = {}
+    for d, i in listed.pop("institution_duplicates"):
+        duplicates.setdefault(d, []).append(i)
+    figures = {k: one[k] for k in ("document_coverage", "demand_coverage", "average_score", "minimum_score", "workload_gini", "safe")}
+    workload = {r.expert_id: r.load for r in found["workload"].orderBy("expert_id").toLocalIterator()}
+    return {**figures, **listed, "institution_duplicates": duplicates, "institution_diversity_required": distinct_institutions, "workload": workload}
 
 
 def _run(scores: DataFrame, documents: DataFrame, experts: DataFrame, conflicts: DataFrame, config: MatchConfig) -> Run:

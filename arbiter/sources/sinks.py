@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import errno
 import hashlib
 import json
 import os
@@ -62,6 +64,35 @@ def affinity_lines(scores: DataFrame, digits: int | None = None) -> Iterator[byt
         yield f"{quoted(r.document_id)},{quoted(r.expert_id)},{r.score if digits is None else f'{r.score:.{digits}f}'}\n".encode()
 
 
+#: renameat2's flag that never replaces, and the name of the folder that paths are relative to. Fixed values.
+_NOREPLACE, _AT_FDCWD = 1, -100
+
+
+def move_new(source: Path, target: Path) -> None:
+    """Move in one step; a target that is there, even an empty folder made a moment before, is never replaced."""
+    libc = ctypes.CDLL(None, use_errno=True)
+    if hasattr(libc, "renameat2"):
+        if libc.renameat2(_AT_FDCWD, os.fsencode(source), _AT_FDCWD, os.fsencode(target), _NOREPLACE) == 0:
+            return
+        code = ctypes.get_errno()
+        if code == errno.EEXIST:
+            raise DataValidationError(f"{target} exists")
+        if code not in (errno.EINVAL, errno.ENOSYS):  # else: the file system can't say so
+            raise OSError(code, os.strerror(code), str(target))
+    # Whoever makes the target's own lock first may move.
+    lock = target.parent / f".{target.name}.lock"
+    try:
+        os.close(os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+    except FileExistsError as error:
+        raise DataValidationError(f"{target} is being written") from error
+    try:
+        if target.exists():
+            raise DataValidationError(f"{target} exists")
+        os.rename(source, target)
+    finally:
+        lock.unlink()
+
+
 def write_run(folder: str | Path, files: Mapping[str, bytes | Iterable[bytes]], manifest: Mapping[str, Any] | None = None) -> dict[str, Any]:
     """A run folder with its files and a manifest of their sizes and digests. It appears whole, and never replaces one."""
     folder = Path(folder)
@@ -80,10 +111,7 @@ def write_run(folder: str | Path, files: Mapping[str, bytes | Iterable[bytes]],
             found[name] = {"bytes": size, "sha256": digest.hexdigest()}
         record = {**(manifest or {}), "files": found}
         (stage / "manifest.json").write_bytes(stable_json(record))
-        try:
-            os.rename(stage, folder)
-        except OSError as error:
-            raise DataValidationError(f"{folder} exists") from error
+        move_new(stage, folder)
     except BaseException:
         shutil.rmtree(stage, ignore_errors=True)
         raise

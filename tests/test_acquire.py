@@ -13,7 +13,7 @@ from arbiter.errors import DataValidationError
 from arbiter.functions.text import safe_term
 from arbiter.operators import expertise, keyphrases
 from arbiter.operators.assignment import places_of
-from arbiter.sources import acquire, domain, sinks
+from arbiter.sources import acquire, artifacts, domain, sinks
 from arbiter.sources.rest import Client, Response
 from domain_tables import documents, experts, paper
 
@@ -143,3 +143,101 @@ def test_places_follow_the_ids(spark):
     df = spark.createDataFrame([(i,) for i in reversed(ids)], "i string").repartition(7)
     assert {r.i: r.place for r in places_of(df, "i").collect()} == {i: k for k, i in enumerate(sorted(ids))}
     assert places_of(df.limit(0), "i").count() == 0
+
+
+def frozen(spark, folder, s, p, **changes):
+    """A folder with vectors of 2 numbers for the requested papers."""
+    folder.mkdir()
+    files = {}
+    for name, rows in (("submissions.jsonl", s), ("publications.jsonl", p)):
+        data = "".join(json.dumps({"paper_id": r.paper_id, "embedding": [1.0, 0.5]}) + "\n" for r in rows.collect()).encode()
+        (folder / name).write_bytes(data)
+        files[name] = {"bytes": len(data), "sha256": __import__("hashlib").sha256(data).hexdigest()}
+    m = {
+        "schema_version": 1, "adapter": artifacts.VECTOR_ADAPTER, "encoder": {"family": "specter2", "model_id": "m", "revision": "r", "origin": "synthetic-fixture", "weights_sha256": None},
+        "requests": {"submissions_sha256": artifacts.request_digest(s), "publications_sha256": artifacts.request_digest(p)}, "files": files,
+    }
+    m["encoder"] |= changes.pop("encoder", {})
+    (folder / "manifest.json").write_text(json.dumps(m | changes))
+    return folder
+
+
+def test_frozen_vectors(spark, tmp_path):
+    from arbiter.operators.vectors import embedding_requests
+
+    s, p, _ = embedding_requests(papers(spark), people(spark))
+    found = artifacts.FrozenVectors(frozen(spark, tmp_path / "v", s, p))
+    sv, pv = found.load(spark, s, p, 2)
+    assert sv.count() == 2 and pv.count() == 2 and found.encoder["family"] == "specter2"
+    with pytest.raises(DataValidationError, match="other submissions"):
+        found.load(spark, s.withColumn("title", F.lit("x")), p, 2)
+    found.inputs.verify()
+    (tmp_path / "v" / "publications.jsonl").write_text("")
+    with pytest.raises(DataValidationError, match="changed"):
+        found.inputs.verify()
+    with pytest.raises(DataValidationError, match="manifest says"):
+        artifacts.FrozenVectors(tmp_path / "v")
+    for k, bad in enumerate(({"encoder": {"family": "other"}}, {"encoder": {"weights_sha256": "0" * 64}}, {"encoder": {"origin": "external-encoder"}}, {"schema_version": 2}, {"schema_version": True}, {"adapter": "x"}, {"requests": {}}, {"more": 1})):
+        with pytest.raises(DataValidationError):
+            artifacts.FrozenVectors(frozen(spark, tmp_path / f"bad{k}", s, p, **bad))
+
+
+def plan_record(**changes):
+    one = {"document_id": "d1", "expert_id": "a", "score": 0.5, "rank": 1, "components": {"content": 0.5}}
+    d1 = {"document_id": "d1", "requested": 2, "assigned": 1, "unmet": 1, "reason_codes": ["expert_capacity"], "evidence": {"total_experts": 2}, "saturated_experts": ["b"]}
+    run = {"status": "infeasible", "certified": True, "requested": 2, "assigned": 1, "unmet": 1, "documents": [d1]}
+    run |= changes.pop("run", {})
+    return {"strategy": "optimal", "total_score": 0.5, "unmet": {"d1": 1}, "assignments": [one], "diagnostics": run} | changes
+
+
+def test_plans_are_read_back():
+    found = artifacts.read_plan(plan_record())
+    assert found["total_score"] == 0.5 and found["diagnostics"]["documents"][0]["unmet"] == 1
+    assert artifacts.read_plan({})["assignments"] == [] and artifacts.read_plan(plan_record(diagnostics=None))["diagnostics"] is None
+    bad = [
+        {"total_score": 0.6}, {"unmet": {"d1": 2}}, {"unmet": {"d1": -1}}, {"assignments": [{}]}, {"assignments": []}, {"more": 1}, {"strategy": ""}, {"run": {"status": "satisfied"}},
+        {"run": {"certified": False}}, {"run": {"requested": 3}}, {"run": {"status": "?"}}, {"run": {"documents": []}}, {"assignments": [{"document_id": "d1", "expert_id": "a", "score": float("nan"), "rank": 1}]},
+    ]
+    for change in bad:
+        with pytest.raises(DataValidationError):
+            artifacts.read_plan(plan_record(**change))
+
+
+def test_a_run_folder_never_replaces_even_an_empty_one(tmp_path, monkeypatch):
+    (tmp_path / "there").mkdir()
+    new = tmp_path / "new"
+    new.mkdir()
+    with pytest.raises(DataValidationError, match="exists"):
+        sinks.move_new(new, tmp_path / "there")
+    monkeypatch.setattr(sinks.ctypes, "CDLL", lambda *a, **k: object())  # a system without that call
+    with pytest.raises(DataValidationError, match="exists"):
+        sinks.move_new(new, tmp_path / "there")
+    sinks.move_new(new, tmp_path / "moved")
+    assert (tmp_path / "moved").is_dir() and not new.exists() and not list(tmp_path.glob(".*lock"))
+
+
+def test_commands_read_artifacts_back(spark, tmp_path):
+    """Keyphrases and vectors of earlier runs go into later ones; run folders hold what they were made from."""
+    from arbiter.cli import main
+
+    docs = [{"id": "d1", "title": "Graph search", "abstract": "graph"}, {"id": "d2", "title": "Folding proteins", "abstract": "models"}, {"id": "d3", "title": "Graph joins", "abstract": "streams of graph data"}]
+    people_ = [{"id": "a", "name": "A", "summary": "graph search engines", "publications": [{"id": "g1", "title": "Graph indexes", "abstract": "search"}]}, {"id": "b", "name": "B", "summary": "protein folding models", "publications": []}]
+    for name, rows in (("d", docs), ("e", people_), ("t", [{"document_id": "d1", "positive_expert_id": "a", "negative_expert_id": "b"}]), ("v", [{"document_id": "d2", "positive_expert_id": "b", "negative_expert_id": "a"}])):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    path = lambda n: str(tmp_path / n)
+    base = ["--documents", path("d.jsonl"), "--experts", path("e.jsonl")]
+    assert main(["expertise", *base, "--output", path("x")], spark) == 0
+    assert {"model-units.jsonl", "model-terms.jsonl", "submission-evidence.jsonl", "reviewer-evidence.jsonl", "documents.jsonl"} <= set(sinks.verify_run(path("x"))["files"])
+    assert main(["extract-keyphrases", *base, "--output", path("k")], spark) == 0
+    train = ["--train", path("t.jsonl"), "--validation", path("v.jsonl")]
+    assert main(["expertise-centroid", *base, *train, "--keyphrases", path("k/keyphrases.jsonl"), "--output", path("c")], spark) == 0
+    assert main(["expertise-centroid", *base, *train, "--output", path("c2")], spark) == 0
+    assert (tmp_path / "c/model.json").read_bytes() == (tmp_path / "c2/model.json").read_bytes()
+    assert [json.loads(x)["id"] for x in (tmp_path / "c/documents.jsonl").read_text().splitlines()] == ["d3"]
+    from arbiter.operators.vectors import embedding_requests
+
+    s, p, _ = embedding_requests(domain.load_documents(spark, path("d.jsonl")), domain.load_experts(spark, path("e.jsonl")))
+    frozen(spark, tmp_path / "f", s, p)
+    assert main(["expertise-embedding", *base, "--vectors", path("f"), "--dimensions", "2", "--output", path("m")], spark) == 0
+    assert sinks.verify_run(path("m"))["encoder"]["family"] == "specter2"
+    assert main(["expertise-embedding", *base, "--output", path("m2")], spark) == 2
