@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbiter.llm.common import materialise
+
 DIMS = 1024
 SEED = 7
 PER_LANGUAGE = 1000
@@ -133,9 +135,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, dims: int = DIMS, seed: int = SEED, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Prototypes from rows (doc_id, text, lang): the tags in order and one unit vector each."""
     known = labelled.filter("lang is not null")
-    share = known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share"))
+    share = materialise(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if share.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    share = share.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share"))
     chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(share, "lang").filter(chance < F.col("share")).select("lang", "text")
+    sample = known.join(F.broadcast(share), "lang").filter(chance < F.col("share")).select("lang", "text")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -149,9 +154,7 @@ def train(labelled: DataFrame, dims: int = DIMS, seed: int = SEED, per_language:
     # One row a language and place; rounded, so the order of the sums doesn't show.
     rows = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.round(F.sum("x"), 4).alias("x"))
     rows = rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).select("lang", F.col("v.x").alias("v")).orderBy("lang")
-    found = rows.limit(MOST_LANGUAGES + 1).collect()  # languages x dims numbers
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found = rows.collect()  # languages x dims numbers
     return [r.lang for r in found], _unit(np.array([r.v for r in found], np.float32).reshape(-1, dims))
 
 
