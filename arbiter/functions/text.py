@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -27,24 +28,26 @@ def _foldings() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(single), "".join(single.values()), tuple((c, f) for c, f in table.items() if len(f) > 1)
 
 
-def _special(low: Column) -> Column:
-    """Whether a text in lower case has a character that case folding changes further.
+@lru_cache(maxsize=1)
+def _unsettling() -> str:
+    """Characters in lower case that are folded to something else than letters and numbers, or are no letter or number themselves."""
+    one, other, several = _foldings()
+    word = lambda text: all(unicodedata.category(c)[0] in "LN" for c in text)
+    return "".join(c for c, f in [*zip(one, other), *several] if not (word(c) and word(f)))
+
 
-    None is of ASCII, and most texts with other letters are told by deleting
-    the special ones, which is one pass with a table.
-    """
-    one, _, several = _foldings()
-    special = one + "".join(c for c, _ in several)
-    return (F.octet_length(low) != F.length(low)) & (F.translate(low, special, "") != low)
+def _has(text: Column, characters: str) -> Column:
+    """Whether a text has one of the characters, none of which is of ASCII: told by deleting them, one pass with a table."""
+    return (F.octet_length(text) != F.length(text)) & (F.translate(text, characters, "") != text)
 
 
 def casefold(text: Column) -> Column:
-    """str.casefold. Texts without a special character take the short way."""
+    """str.casefold. Texts without a special character take the short way; the one that is common in texts is replaced at once."""
     one, other, several = _foldings()
-    low = F.lower(text)
-    steps = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in several])
+    low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    steps = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in several if c != "ß"])
     full = F.aggregate(steps, F.translate(low, one, other), lambda acc, s: F.replace(acc, s["c"], s["f"]))
-    return F.when(_special(low), full).otherwise(low)
+    return F.when(_has(low, one + "".join(c for c, _ in several if c != "ß")), full).otherwise(low)
 
 
 def once(value: Column) -> Column:
@@ -82,9 +85,9 @@ def tokens_split_first(text: Column, minimum: int = 2, stopwords: tuple[str, ...
     """The expertise index's tokens: the text is split, then each token is folded."""
     text = F.coalesce(text, F.lit(""))
     found = lambda t: F.regexp_extract_all(t, F.lit(TOKEN), F.lit(1))
-    # The order only matters for texts with a special character, and for the one letter whose lower case has a mark in it.
-    special = _special(F.lower(text)) | text.contains(chr(0x130))
-    return _kept(F.when(special, F.transform(found(text), casefold)).otherwise(found(F.lower(text))), minimum, stopwords)
+    # The order only matters for texts with a character that folding takes out of a word, or puts into one, and for the one letter whose lower case has a mark in it.
+    late = _has(F.lower(text), _unsettling()) | text.contains(chr(0x130))
+    return _kept(F.when(late, F.transform(found(text), casefold)).otherwise(found(casefold(text))), minimum, stopwords)
 
 
 def sentences(text: Column) -> Column:

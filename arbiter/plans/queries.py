@@ -36,7 +36,7 @@ def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 @query
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", once(tokens_fold_first(F.col("text"))).alias("f"))
+    rows = testdata.texts(spark, sf_dir).select("doc_id", "text", once(tokens_fold_first(F.col("text"))).alias("f"))
     rows = rows.select("doc_id", "f", once(tokens_split_first(F.col("text"))).alias("s"))
     return rows.select("doc_id", F.size("f").cast("long").alias("n_fold_first"), F.size("s").cast("long").alias("n_split_first"), F.size(F.array_distinct("f")).cast("long").alias("n_terms"))
 
@@ -315,7 +315,7 @@ for _aggregation in ("max", "average", "centroid"):
 
 @query
 def cooccurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = testdata.texts(spark, sf_dir).select("doc_id", "text")
     return keyphrases.cooccurrence_edges(d, "doc_id", window_size=3).groupBy("doc_id").agg(F.count("*").alias("n_edges"), F.min("left").alias("first_left"), F.max("right").alias("last_right"))
 
 
@@ -332,7 +332,7 @@ def keyphrase_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def document_keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-length ranking of every document."""
-    d = table(spark, sf_dir, "documents").select(F.lit("submission").alias("kind"), F.col("doc_id").cast("string").alias("owner_id"), F.col("doc_id").cast("string").alias("evidence_id"), "text")
+    d = testdata.texts(spark, sf_dir).select(F.lit("submission").alias("kind"), F.col("doc_id").cast("string").alias("owner_id"), F.col("doc_id").cast("string").alias("evidence_id"), "text")
     return keyphrases.rank_texts(d, KeyphraseConfig()).select("owner_id", "token_count", F.get(F.col("keyphrases.term"), 0).alias("best"))
 
 

@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out if their scan has fewer tasks than there are cores: a small file of one row group is one task."""
+    rows = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def traded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(s, p_type, p_brand, l_quantity, year, returned, nation of the customer) of every line."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", F.year("l_shipdate").alias("year"))
@@ -135,7 +142,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sources_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(expert_id, evidence_id, ord, year, text): every document as evidence of its source."""
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     return d.select(F.coalesce("source", F.lit("none")).alias("expert_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("evidence_id"), F.col("doc_id").alias("ord"), (2010 + F.col("doc_id") % 16).cast("int").alias("year"), F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -37,6 +37,16 @@ def test_the_two_tokenisers_differ_where_folding_makes_a_boundary(spark):
     assert one(spark, tokens_fold_first, ["İs"]) != one(spark, tokens_split_first, ["İs"])
 
 
+def test_splitting_first_equals_python_on_every_letter_that_folds(spark):
+    """But for the letters of Unicode versions that the JVM doesn't know yet: it takes them for no letters."""
+    points = [chr(p) for p in range(sys.maxunicode + 1) if not 0xD800 <= p < 0xE000 and chr(p).casefold() != chr(p)]
+    known = one(spark, lambda x: x.rlike(r"[\p{L}\p{N}]"), points)
+    points = [c for c, k in zip(points, known) if k or not WORDS.match(c)]
+    assert len(points) > 1400
+    texts = ["xa" + c + "bz" for c in points] + ["xa" + a + "b " + c for a, c in zip(points, points[1:])]
+    assert one(spark, tokens_split_first, texts) == [[w.casefold() for w in WORDS.findall(t) if len(w.casefold()) > 1] for t in texts]
+
+
 def test_labels_and_jaccard(spark):
     assert one(spark, clean_labels, [[" a", "a", "", "B", " "], None], "array<string>") == [["a", "B"], []]
     df = spark.createDataFrame([(["A ", "b"], ["a", "c"]), ([], []), (["x"], ["X"])], "l array<string>, r array<string>")
