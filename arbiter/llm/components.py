@@ -55,10 +55,10 @@ def _contract(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, finish_rows: int = FINISH_ROWS, max_rounds: int = 100) -> DataFrame:
-    """(node, root) for every node of the edges (u, v): root is the smallest node reachable.
+    """(node, root) for every node of the edges (u, v) but the roots: root is the smallest node reachable.
 
     Rounds of large star and small star; when few edges are left, one task
     finishes them. That is a bound on the edges of that task, and no edge is
     dropped. If `max_rounds` don't suffice, it is an error.
     """
-    return components(edges, max_rounds, lambda few: _contract(few.coalesce(1)), finish_rows)
+    return components(edges, max_rounds, lambda few: _contract(few.coalesce(1)), finish_rows).filter("node <> root")
