@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="arbiter-")
+        local = tempfile.mkdtemp(prefix="arbiter-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        found = "file://" + local
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
