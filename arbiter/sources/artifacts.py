@@ -112,7 +112,7 @@ class FrozenVectors:
 
 def read_plan(value: Any) -> dict[str, Any]:
     """A plan record whose parts agree: scores with the total, pairs and ranks with each other, diagnostics with their sums and state."""
-    plan = fields(value, "plan", assignments=(_list, []), unmet=(_mapping, {}), strategy=(_text, "unknown"), total_score=(_real, None), diagnostics=(lambda v: v is None or _mapping(v), None), audit=(lambda v: True, None))
+    plan = fields(value, "plan", assignments=(_list, []), unmet=(_mapping, {}), strategy=(_text, "unknown"), total_score=(_real, None), diagnostics=(lambda v: v is None or _mapping(v), None), audit=(lambda v: True, None), scores=(_list, None))
     rows = [dict(fields(r, "assignment", document_id=_text, expert_id=_text, score=_real, rank=lambda v: _count(v) and v > 0, components=(_mapping, {}))) for r in plan["assignments"]]
     if any(not _real(x) for r in rows for x in r["components"].values()):
         raise DataValidationError("components must be numbers")
