@@ -21,7 +21,7 @@ from arbiter.operators.scoring import pair_scores
 from arbiter.plans.matching import Run, audit_record, run_affinity_matching, run_matching, score_without_exclusions
 from arbiter.schemas import check_references
 from arbiter.sources import acquire, domain, notes, rest, sinks
-from arbiter.sources.artifacts import FrozenVectors, read_plan
+from arbiter.sources.artifacts import FrozenVectors, plan_shape, read_plan
 from arbiter.sources.strict import fingerprints, loads, translate
 from arbiter.storage import release
 
@@ -156,11 +156,18 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         return 0
     if name == "audit":
         d, e, c = _tables(spark, args)
-        plan = read_plan(loads(Path(args.plan).read_text(encoding="utf-8")))
+        value = loads(Path(args.plan).read_text(encoding="utf-8"))
+        plan, broken = plan_shape(value), None
+        try:
+            read_plan(value)
+        except DataValidationError as error:  # reported beside what the audit finds
+            broken = str(error)
         rows = [(a["document_id"], a["expert_id"], float(a["score"]), k) for k, a in enumerate(plan["assignments"])]
         table = spark.createDataFrame(rows, "document_id string, expert_id string, score double, position long")
         match = MatchConfig.from_mapping(config)
         found = audit_record(audit.tables(table, d, e, c, match.reviewers_per_document), match.require_distinct_institutions)
+        if broken:
+            found |= {"safe": False, "plan_error": broken}
         sinks.write_json(args.output, found)
         return 0 if found["safe"] else 2
     if name == "import-notes":

@@ -110,14 +110,21 @@ class FrozenVectors:
         return tuple(load_vectors(spark, str(self.folder / n), asked, dimensions) for n, asked in zip(VECTOR_FILES, (submissions, publications)))
 
 
-def read_plan(value: Any) -> dict[str, Any]:
-    """A plan record whose parts agree: scores with the total, pairs and ranks with each other, diagnostics with their sums and state."""
+def plan_shape(value: Any) -> dict[str, Any]:
+    """A plan record whose fields are those of a plan."""
     plan = fields(value, "plan", assignments=(_list, []), unmet=(_mapping, {}), strategy=(_text, "unknown"), total_score=(_real, None), diagnostics=(lambda v: v is None or _mapping(v), None), audit=(lambda v: True, None), scores=(_list, None))
     rows = [dict(fields(r, "assignment", document_id=_text, expert_id=_text, score=_real, rank=lambda v: _count(v) and v > 0, components=(_mapping, {}))) for r in plan["assignments"]]
     if any(not _real(x) for r in rows for x in r["components"].values()):
         raise DataValidationError("components must be numbers")
     if not all(_count(n) for n in plan["unmet"].values()):
         raise DataValidationError("unmet demands must be counts")
+    return {**plan, "assignments": rows}
+
+
+def read_plan(value: Any) -> dict[str, Any]:
+    """A plan record whose parts agree too: scores with the total, pairs with the diagnostics, these with their sums and state."""
+    plan = plan_shape(value)
+    rows = plan["assignments"]
     total = math.fsum(r["score"] for r in rows)
     if plan["total_score"] is not None and not math.isclose(plan["total_score"], total, rel_tol=1e-12, abs_tol=1e-12):
         raise DataValidationError("the total isn't the sum of the scores")
@@ -128,7 +135,7 @@ def read_plan(value: Any) -> dict[str, Any]:
             raise DataValidationError("the diagnostics don't count the plan's assignments")
         if {d["document_id"]: d["unmet"] for d in found["documents"] if d["unmet"]} != {d: n for d, n in plan["unmet"].items() if n}:
             raise DataValidationError("the diagnostics' unmet demands aren't the plan's")
-    return {**plan, "assignments": rows, "total_score": total if plan["total_score"] is None else plan["total_score"], "diagnostics": found}
+    return {**plan, "total_score": total if plan["total_score"] is None else plan["total_score"], "diagnostics": found}
 
 
 def _diagnostics(value: Any) -> dict[str, Any]:
