@@ -32,21 +32,28 @@ min-hash of a function with chance s.
    shingle, a loss for any other) are proposed on both sides, for shares from
    that of equally long sides down to `similarity`; one counts from a Jaccard
    similarity of `similarity`, whatever its share.
-5. A passage that two documents share with each other is left out where both
+5. The rest. Steps 2 to 4 look at a few partners of each run only. Every run of
+   a key that more than two have, those that others stand for too, gets labels
+   of its place: the same ones where chains of verified passages link two places
+   (cells of `CELL` shingles). Runs of a key without a label in common, directly
+   or through others, are in different components. All pairs of runs of different
+   components that can hold similar passages are found by their shingles, with
+   `HALF` more on both sides, and verified as in step 4. Of what turns out similar
+   on the way, pairs that make one component of two are enough.
+6. A passage that two documents share with each other is left out where both
    share it with the first partner of each: they are linked by that one.
 
 Chances. At similarity 0.8 a stretch of 46 shingles shares a key with its
 counterpart with chance 0.98 (1 - 0.36^4); longer passages hold many stretches.
-Exact passages share all keys, and a half's sketch with each. Where over `ALIKE`
-documents of a block share a shorter passage (23 to 37 shingles), a passage of
-less than 74 shingles that holds it can lose its link to that one: its runs must
-all lie there, which they do in about 3 of 100.
+Exact passages share all keys, and a half's sketch with each.
 
-Many runs of one key. Up to `DENSE` are compared each with each, by their
-sketches alone. Above, only those that agree in four functions of a half meet,
-which all pairs with enough agreement do. If even more than `DENSE` agree in
-these, they are compared in blocks of that many in the order of their sketches;
-each finds a partner there, but not surely the best one.
+Many runs of one key. In step 2 up to `DENSE` are compared each with each, by
+their sketches alone; above, those that agree in four functions of a half meet,
+in blocks of `DENSE` in the order of their sketches. This only chooses what is
+verified first: `ALIKE`, `ABOUT`, `DENSE` and `COMBINE` bound no result, as step 5
+holds all components of a key against each other. A group too large for a task
+is dealt in blocks of which each two meet, but for those of one component.
+Places that adjoin a linked passage by less than `CELL` shingles count as linked.
 
 Defined results
   null, empty or short text  (under 50 words) no passage
@@ -70,6 +77,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbiter.llm.common import materialise, partitions
+from arbiter.llm.components import connected_components
 from arbiter.llm.pretokens import pieces
 
 SHINGLE = 5
@@ -86,6 +94,10 @@ STEP = 256  # documents hashed together
 PART, OVERLAP = 1 << 22, 1 << 12  # shingles of a part of a very long text, and how many of them the next one repeats
 COMBINE = 1_500_000  # runs combined before the shuffle, and looked at together after it
 DENSE = 256
+CELL, LABELS, EDGE = HALF, 4, 4  # shingles under one label, labels of a run's place, and shingles at its ends that don't count for them
+LONGEST = 2048  # shingles of a stretch that is looked at for segments before its pairs are verified
+TOGETHER = 8192  # runs of a block where a key's unlinked runs are too many for one task
+PAIRS = 1 << 22  # pairs looked at together
 _POS = np.uint64((1 << 24) - 1)
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 _FACTORS = np.random.default_rng(20).integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -236,8 +248,11 @@ def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], li
         yield ids, places, docs
 
 
-#: A run (to = -1), or a link of a run to the one at `to` in document b. Places hold the first and last shingle in 32 bits each.
+#: A run (to = _RUN; b counts runs of its key that were left out in its block, at one of them), one that another stands for (to = _LEFT; its key in `sketch`), or a link of a run to
+#: the one at `to` in document b. Places hold the first and last shingle in 32 bits each.
 _RUNS = "key long, sketch long, doc_id long, place long, b long, to long"
+_RUN, _LEFT = -1, -2
+#: A link; or, where lb is -1, a run of a key that more than two runs have: the key, the document, and its first and last shingle.
 _LINKS = "a long, b long, la int, ra int, lb int, rb int"
 
 
@@ -286,6 +301,7 @@ class _Runs:
         many[1:] |= same
         many[:-1] |= same
         self.alone, self.rows = (tuple(x[by[one]] for x in (key, sketch, doc, place)) for one in (~many, many))
+        self.left: list[tuple] = []
         self.linked: list[tuple] = []
         self._leave(self.rows[1], 1)
         for shift in (0, 32) if alike else ():
@@ -306,6 +322,7 @@ class _Runs:
             alike = [_agreement(sketch[rest] ^ sketch[to + d])[1] for d in range(most)]
             alike = np.stack(alike)
             to = to + np.argmax(alike >= alike.max(axis=0) - ABOUT, axis=0)
+        self.left.append((key[rest], doc[rest], place[rest]))
         self.linked.append((doc[rest], place[rest], doc[to], place[to]))
         self.rows = key[stays], sketch[stays], doc[stays], place[stays]
 
@@ -316,6 +333,10 @@ class _Runs:
         """(doc, place, doc, place) of runs and those that stand for them."""
         return [np.concatenate(x) for x in zip(*self.linked)] or [np.empty(0, np.int64)] * 4
 
+    def others(self) -> list[np.ndarray]:
+        """(key, doc, place) of the runs that others stand for."""
+        return [np.concatenate(x) for x in zip(*self.left)] or [np.empty(0, np.int64)] * 3
+
 
 def _compare(group: np.ndarray, sketch: np.ndarray, doc: np.ndarray, who: np.ndarray, best: np.ndarray, first: np.ndarray | None) -> None:
     """Each with each in runs of equal `group`: how alike the most alike one before it is, in `best`, or the first one of about that, in `first`."""
@@ -377,14 +398,27 @@ def nearest(key: np.ndarray, sketch: np.ndarray, doc: np.ndarray) -> tuple[np.nd
 
 
 def runs(texts: DataFrame) -> DataFrame:
-    """Runs that stand for others in their block, and links of the others, which travel under a key of their own."""
+    """Runs that stand for others in their block, and the others and their links, which travel under a key of their own."""
 
     def combined(parts: list[tuple]) -> pa.RecordBatch:
         found = _Runs(*map(np.concatenate, zip(*parts)), ALIKE)
         key, sketch, doc, place = found.heads()
+        left, its, where = found.others()
+        names, n = np.unique(left, return_counts=True)
+        known, first = np.unique(found.rows[0], return_index=True)
+        many = np.zeros(len(key), np.int64)
+        many[len(found.alone[0]) + first[np.searchsorted(known, names)]] = n
         a, at, b, to = _hulls(*_turned(*found.links()))
-        spread = _mix(a.view(np.uint64)).view(np.int64)
-        columns = [(key.view(np.int64), spread), (sketch.view(np.int64), np.zeros(len(a), np.int64)), (doc, a), (place, at), (np.zeros(len(key), np.int64), b), (np.full(len(key), -1), to)]
+        spread = lambda x: _mix(x.view(np.uint64)).view(np.int64)
+        zeros = lambda x, value=0: np.full(len(x), value)
+        columns = [
+            (key.view(np.int64), spread(its), spread(a)),
+            (sketch.view(np.int64), left.view(np.int64), zeros(a)),
+            (doc, its, a),
+            (place, where, at),
+            (many, zeros(its), b),
+            (zeros(key, _RUN), zeros(its, _LEFT), to),
+        ]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], [x.split()[0] for x in _RUNS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,18 +439,29 @@ def runs(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, _RUNS)
 
 
+def _counts(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of n over the rows of each row's key, in rows sorted by it."""
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return np.repeat(np.add.reduceat(n, start), np.diff(np.append(start, len(key)))) if len(key) else n
+
+
 def links(found: DataFrame) -> DataFrame:
-    """(a, b, la, ra, lb, rb) from runs, a above b."""
+    """(a, b, la, ra, lb, rb) from runs, a above b; and all runs of the keys that more than two have."""
     found = found.repartition(partitions(found.sparkSession), "key").sortWithinPartitions("key")
 
     def solve(key, sketch, doc, place, b, to) -> tuple[pa.RecordBatch, tuple]:
-        own = to < 0
+        own, left = to == _RUN, to == _LEFT
+        link = ~own & ~left
+        some = _counts(key[own], 1 + b[own]) > 2
+        shared = [np.concatenate((x[own][some], y[left])) for x, y in ((key, sketch), (doc, doc), (place, place))]
         here = _Runs(key[own], sketch[own].view(np.uint64), doc[own], place[own], ALIKE)
         by = np.lexsort((here.rows[3], here.rows[2], here.rows[0]))
         k, s, d, p = (x[by] for x in here.rows)
         i, j = nearest(k, s, d)
-        a, at, b, to = _turned(*map(np.concatenate, zip(here.links(), (d[i], p[i], d[j], p[j]), (doc[~own], place[~own], b[~own], to[~own]))))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, *_ends(at, to))], [x.split()[0] for x in _LINKS.split(", ")]), here.heads()
+        a, at, b, to = _turned(*map(np.concatenate, zip(here.links(), (d[i], p[i], d[j], p[j]), (doc[link], place[link], b[link], to[link]))))
+        none = np.full(len(shared[0]), -1, np.int32)
+        columns = zip((a, b, *_ends(at, to)), (*shared[:2], *_ends(shared[2], shared[2])[:2], none, none))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], [x.split()[0] for x in _LINKS.split(", ")]), here.heads()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -436,7 +481,7 @@ def links(found: DataFrame) -> DataFrame:
             else:  # one key alone: the runs that stand for others go on with it
                 out, heads = solve(*columns)
                 key, sketch, doc, place = heads
-                held = [[key, sketch.view(np.int64), doc, place, np.zeros(len(key), np.int64), np.full(len(key), -1)]]
+                held = [[key, sketch.view(np.int64), doc, place, np.full(len(key), 2), np.full(len(key), _RUN)]]
             n = len(held[0][0])
             yield out
         if held:
@@ -527,12 +572,11 @@ def _passages(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [x.split()[0] for x in _PASSAGES.split(", ")])
 
 
-def stretches(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, side, at, h): the shingles of both stretches of each pair. A text is read once, before what is asked of it."""
+def stretches(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(a, b, side, at, h, doc_id): the shingles of each stretch (doc_id, side, a, b, lo, hi). A text is read once, before what is asked of it."""
     none = F.lit(None)
-    asked = [pairs.select(F.col(x).alias("doc_id"), F.lit(k).alias("side"), "a", "b", F.col(f"l{x}").alias("lo"), F.col(f"r{x}").alias("hi"), none.cast("string").alias("text")) for k, x in enumerate("ab")]
     both = texts.select("doc_id", F.lit(-1).alias("side"), none.cast("long").alias("a"), none.cast("long").alias("b"), none.cast("int").alias("lo"), none.cast("int").alias("hi"), "text")
-    both = both.unionByName(asked[0]).unionByName(asked[1])
+    both = both.unionByName(asked.withColumn("text", none.cast("string")))
     both = both.repartition(partitions(texts.sparkSession), "doc_id").sortWithinPartitions("doc_id", "side")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -553,21 +597,43 @@ def stretches(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                 if held and isinstance(held[0], str):  # only texts that something is asked of are hashed
                     held = [_short(t) for t in held]
                 x, y, lo, hi = (c[i] for c in asked)
-                rows += [(x, y, side, lo, s[lo : hi + 1].tobytes()) for s in held]
+                rows += [(x, y, side, lo, s[lo : hi + 1].tobytes(), doc) for s in held]
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["a", "b", "side", "at", "h"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["a", "b", "side", "at", "h", "doc_id"])
+
+    return both.mapInArrow(cut, "a long, b long, side int, at int, h binary, doc_id long")
 
-    return both.mapInArrow(cut, "a long, b long, side int, at int, h binary")
+
+def of_documents(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The texts that something is asked of."""
+    return texts.join(materialise(asked.select("doc_id").distinct(), "asked"), "doc_id", "left_semi")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, start_word, end_word, other_id, other_start, other_end, similarity): passages of 50 words or more, ends exclusive, doc_id above other_id."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null and text is not null")
-    hull = [F.min("la").alias("la"), F.max("ra").alias("ra"), F.min("lb").alias("lb"), F.max("rb").alias("rb")]
-    pairs = materialise(links(runs(texts)).groupBy("a", "b").agg(*hull), "pairs")
+    found = materialise(links(runs(texts)), "links")
+    passages = materialise(verified(texts, _pairs(found.filter("lb >= 0")), similarity), "passages")
+    rest = materialise(_pairs(unlinked(texts, found.filter("lb < 0"), passages, similarity)), "rest")
+    more = materialise(verified(of_documents(texts, _sides(rest)), rest, similarity), "more")
+    return needed(passages.unionByName(more).distinct())
+
+
+def _pairs(links: DataFrame) -> DataFrame:
+    return links.groupBy("a", "b").agg(F.min("la").alias("la"), F.max("ra").alias("ra"), F.min("lb").alias("lb"), F.max("rb").alias("rb"))
+
+
+def _sides(pairs: DataFrame) -> DataFrame:
+    """(doc_id, side, a, b, lo, hi) of both sides."""
+    one, other = (pairs.select(F.col(x).alias("doc_id"), F.lit(k).alias("side"), "a", "b", F.col(f"l{x}").alias("lo"), F.col(f"r{x}").alias("hi")) for k, x in enumerate("ab"))
+    return one.unionByName(other)
+
+
+def verified(texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The passages of pairs (a, b, la, ra, lb, rb)."""
     side = lambda k: F.collect_list(F.when(F.col("side") == k, F.struct("at", "h")))
-    sides = stretches(texts, pairs).groupBy("a", "b").agg(side(0).alias("x"), side(1).alias("y"))
+    sides = stretches(texts, _sides(pairs)).groupBy("a", "b").agg(side(0).alias("x"), side(1).alias("y"))
     sides = sides.select("a", "b", F.explode("x").alias("x"), "y").select("a", "b", "x", F.explode("y").alias("y")).select("a", "b", F.col("x.at").alias("la"), F.col("y.at").alias("lb"), F.col("x.h").alias("x"), F.col("y.h").alias("y"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -578,7 +644,312 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     out.append((a, la + i, la + j + SHINGLE - 1, other, lb + k, lb + m + SHINGLE - 1, s))
             yield _passages(out)
 
-    return needed(materialise(sides.mapInArrow(check, _PASSAGES), "passages"))
+    return sides.mapInArrow(check, _PASSAGES)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first column as tables of about `least` rows that cut no group of it."""
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < least or b.column(0)[0] == b.column(0)[-1]:
+            continue
+        first = b.column(0).to_numpy()
+        change = int(np.searchsorted(first, first[-1]))
+        held[-1] = b.slice(0, change)
+        yield pa.concat_batches(held)
+        held, n = [b.slice(change)], b.num_rows - change
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _same(*columns: np.ndarray) -> np.ndarray:
+    """One number for each different row, in the order of the rows."""
+    by = np.lexsort(columns[::-1])
+    change = np.zeros(len(by), bool)
+    for c in columns:
+        change[1:] |= c[by][1:] != c[by][:-1]
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(change)
+    return out
+
+
+def _spans(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) for n places from `first` on in each row."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _components(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least node that each of n nodes reaches by the edges (x, y)."""
+    least = np.arange(n)
+    while len(x):
+        low, high = np.minimum(least[x], least[y]), np.maximum(least[x], least[y])
+        np.minimum.at(least, high, low)
+        while (least != (up := least[least])).any():
+            least = up
+        apart = least[x] != least[y]
+        x, y = x[apart], y[apart]
+    return least
+
+
+def apart(key: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, *labels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, component, doc, lo, hi) of the runs of keys that verified passages leave in several components.
+
+    A row is a run with up to `LABELS` labels of its place (0: none). Runs of
+    one key with a label in common are in one component.
+    """
+    by = np.lexsort((hi, lo, doc, key))
+    by = by[np.diff(_same(*(x[by] for x in (key, doc, lo, hi))), prepend=-1) > 0]
+    key, doc, lo, hi, *labels = (x[by] for x in (key, doc, lo, hi, *labels))
+    node = np.tile(np.arange(len(key)), len(labels))
+    label = np.concatenate(labels)
+    node, label = node[label != 0], label[label != 0]
+    _, first, group = np.unique(_same(key[node], label), return_index=True, return_inverse=True)
+    component = _components(len(key), node, node[first][group])
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    differ = [np.minimum.reduceat(x, start) != np.maximum.reduceat(x, start) for x in (component, doc)]
+    stays = np.repeat(differ[0] & differ[1], np.diff(np.append(start, len(key))))
+    return tuple(x[stays] for x in (key, component, doc, lo, hi))
+
+
+def _dealt(key: np.ndarray, component: np.ndarray, *rest: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same under keys of at most 2 `TOGETHER` rows: of a larger group each two blocks meet, but for those of one component."""
+    by = np.lexsort((component, key))
+    columns = [x[by] for x in (key, component, *rest)]
+    key, component = columns[:2]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(start, len(key)))
+    few = np.repeat(size <= 2 * TOGETHER, size)
+    yield tuple(x[few] for x in columns)
+    for at, n in zip(start[size > 2 * TOGETHER].tolist(), size[size > 2 * TOGETHER].tolist()):
+        blocks = [slice(k, min(k + TOGETHER, at + n)) for k in range(at, at + n, TOGETHER)]
+        for i, j in combinations(range(len(blocks)), 2):
+            if component[blocks[i].start] == component[blocks[j].stop - 1]:
+                continue
+            part = [np.concatenate((x[blocks[i]], x[blocks[j]])) for x in columns]
+            name = _mix(part[0][:1].view(np.uint64) + np.uint64((i << 32 | j) + 1)).view(np.int64)
+            yield np.repeat(name, len(part[0])), *part[1:]
+
+
+def _fewest(h: np.ndarray, width: int = WIDTH) -> int:
+    """At least so many different shingles has each stretch of `width`."""
+    by = np.argsort(h, kind="stable")
+    again = np.zeros(len(h) + 1, np.int64)
+    near = (h[by][1:] == h[by][:-1]) & (by[1:] - by[:-1] < width)
+    again[1:][by[1:][near]] = 1
+    again = np.cumsum(again)
+    return max(1, width - int((again[width:] - again[:-width]).max(initial=0)))
+
+
+def _one_diagonal(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether the shared shingles at the commonest distance alone make a similar passage."""
+    _, p, q = np.intersect1d(x, y, return_indices=True)
+    if not len(p):
+        return False
+    distance, n = np.unique(p - q, return_counts=True)
+    p = p[p - q == distance[np.argmax(n)]]
+    length = int(p.max() - p.min()) + 1
+    return length >= WIDTH and len(p) >= similarity * (2 * length - len(p))
+
+
+class _Alike:
+    """Stretches of shingles, and which of them share as many as similar passages in them must.
+
+    Two sets of a Jaccard similarity s share s / (1 + s) of the sum of their
+    sizes. Stretches that share so many share one of the rarest that the rest
+    can't make up for; only by those they are joined.
+    """
+
+    def __init__(self, doc: np.ndarray, h: list[np.ndarray], similarity: float):
+        self.doc, self.h, self.similarity, self.share = doc, h, similarity, similarity / (1 + similarity)
+        pure = 2 * self.share
+        self.levels = np.array([similarity, (similarity + pure) / 2, pure - 1e-3, (pure + 1) / 2])
+        self.length = np.array([len(x) for x in h])
+        self.least = np.array([_fewest(x) for x in h])
+        sets = [np.unique(x) for x in h]
+        self.size = np.array([len(x) for x in sets])
+        self.begin = np.cumsum(self.size) - self.size
+        row = np.repeat(np.arange(len(h)), self.size)
+        values, shingle, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        by = np.lexsort((shingle, count[shingle], row))
+        self.shingle = shingle[by]
+        self.mine = np.zeros(len(count) + 1, bool)
+        self.places = np.full((len(h), min(LONGEST, max(map(len, h)))), len(count))  # the shingles in their order; the last number stands for none
+        for k, x in enumerate(h):
+            if len(x) <= LONGEST:
+                self.places[k, : len(x)] = np.searchsorted(values, x)
+        need = np.ceil(self.share * (self.least + self.least.min()) - 1e-9).astype(np.int64)
+        rare = (np.arange(len(row)) - self.begin[row] <= self.size[row] - need[row]) & (count[self.shingle] > 1)
+        self.rows, self.by = row[rare], self.shingle[rare]
+
+    def may_link(self, numbers: np.ndarray) -> np.ndarray:
+        """The pairs of those that share enough, in some segment of either one.
+
+        Shares a and b of the two segments make a similarity s where
+        1 / a + 1 / b = 1 + 1 / s; they are known to lie below the next of `levels`.
+        """
+        n, bound = len(self.h), 1 / np.append(self.levels, 1.0)
+        below = self._level(numbers // n, numbers % n)
+        numbers, below = numbers[below > 0], below[below > 0]
+        by = np.lexsort((numbers // n, numbers % n))
+        above = self._level(numbers[by] % n, numbers[by] // n)
+        return np.sort(numbers[by][(above > 0) & (bound[above] + bound[below[by]] <= 1 + 1 / self.similarity + 1e-9)])
+
+    def _segment(self, hit: np.ndarray, share: float) -> np.ndarray:
+        """Whether rows of hits have a segment of `WIDTH` places or more with that share."""
+        total = np.zeros((len(hit), hit.shape[1] + 1))
+        np.cumsum(np.where(hit, 1.0, -share / (1 - share)), axis=1, out=total[:, 1:])
+        return (total[:, WIDTH:] - np.minimum.accumulate(total[:, : total.shape[1] - WIDTH], axis=1)).max(axis=1) > -1e-9
+
+    def _level(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many of `levels` a segment of j reaches; none if the pair, of pairs sorted by i, doesn't share enough in all."""
+        level = np.zeros(len(i), np.int64)
+        start = np.flatnonzero(np.diff(i, prepend=-1))
+        for lo, hi in zip(start.tolist(), np.append(start[1:], len(i)).tolist()):
+            x = i[lo]
+            self.mine[self.shingle[self.begin[x] : self.begin[x] + self.size[x]]] = True
+            for k in range(lo, hi, STEP):
+                y = j[k : min(k + STEP, hi)]
+                of, where = _spans(self.begin[y], self.size[y])
+                both = np.bincount(of[self.mine[self.shingle[where]]], minlength=len(y))
+                enough = both >= self.share * (self.least[x] + self.least[y]) - 1e-9
+                level[k : k + len(y)] = np.where(enough, len(self.levels), 0)
+                some = np.flatnonzero(enough & (self.length[y] <= LONGEST))
+                level[k + some] = 0
+                for share in self.levels:
+                    if len(some):
+                        some = some[self._segment(self.mine[self.places[y[some]]], share)]
+                        level[k + some] += 1
+            self.mine[self.shingle[self.begin[x] : self.begin[x] + self.size[x]]] = False
+        return level
+
+    def numbers(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.unique(np.minimum(i, j) * len(self.h) + np.maximum(i, j))
+
+    def apart(self, numbers: np.ndarray) -> np.ndarray:
+        return self.doc[numbers // len(self.h)] != self.doc[numbers % len(self.h)]
+
+    def pairs(self, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that link components, and all pairs of what can't be linked so that may be similar.
+
+        First each component is held against the next one of each shingle, and
+        those that turn out similar are one from there on, until there are no
+        more. Then each is held against each.
+        """
+        n, tried, linked = len(self.h), np.empty(0, np.int64), []
+        while True:
+            order = np.lexsort((component[self.rows], self.by))
+            r, w = self.rows[order], self.by[order]
+            c = component[r]
+            if not len(r) or not (component != component[0]).any():
+                return self._out(linked, tried[:0])
+            next_to = np.flatnonzero((w[1:] == w[:-1]) & (c[1:] != c[:-1]))
+            new = np.setdiff1d(self.numbers(r[next_to], r[next_to + 1]), tried)
+            tried = np.union1d(tried, new)
+            new = self.may_link(new)
+            more = []
+            for k in new[np.argsort(self.apart(new), kind="stable")].tolist():  # a passage twice in one document first
+                i, j = divmod(k, n)
+                if component[i] != component[j] and (_one_diagonal(self.h[i], self.h[j], self.similarity) or verify(self.h[i], self.h[j], similarity=self.similarity)):
+                    more.append(k)
+                    low, high = sorted((component[i], component[j]))
+                    component = np.where(component == high, low, component)
+            linked += more
+            if not more:
+                break
+        after = np.append(np.flatnonzero((w[1:] != w[:-1]) | (c[1:] != c[:-1])) + 1, len(r))
+        ends = np.append(np.flatnonzero(w[1:] != w[:-1]) + 1, len(r))
+        at = np.arange(len(r))
+        after, ends = after[np.searchsorted(after, at, side="right")], ends[np.searchsorted(ends, at, side="right")]
+        made, seen = np.cumsum(ends - after), np.empty(0, np.int64)
+        while len(at):
+            cut = max(1, int(np.searchsorted(made, made[0] - (ends - after)[0] + PAIRS, side="right")))
+            row, to = _spans(after[:cut], (ends - after)[:cut])
+            new = np.setdiff1d(self.numbers(r[at[:cut]][row], r[to]), seen)
+            new = new[self.apart(new)]
+            seen = np.union1d(seen, self.may_link(new))
+            at, after, ends, made = at[cut:], after[cut:], ends[cut:], made[cut:]
+        return self._out(linked, seen)
+
+    def _out(self, linked: list[int], rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = np.union1d(np.array(linked, np.int64), rest)
+        found = found[self.apart(found)]
+        return found // len(self.h), found % len(self.h)
+
+
+def places(passages: DataFrame) -> DataFrame:
+    """(doc_id, cell, label): a label for each stretch of `CELL` shingles of a document whose middle is in a passage, the same for those that verified passages link at about one place."""
+    shift = SHINGLE - 1
+    cells = F.sequence(F.ceil((F.col("start_word") - CELL // 2) / CELL).cast("int"), F.floor((F.col("end_word") - shift - 1 - CELL // 2) / CELL).cast("int"))
+    met = passages.select("*", F.explode(cells).alias("cell"))
+    there = F.least(F.col("other_start") + F.col("cell") * CELL + CELL // 2 - F.col("start_word"), F.col("other_end") - shift - 1)
+    met = met.select("doc_id", "cell", "other_id", F.floor(there / CELL).cast("int").alias("other_cell"))
+    met = materialise(met.select("*", F.xxhash64("doc_id", "cell").alias("u"), F.xxhash64("other_id", "other_cell").alias("v")), "places")
+    roots = connected_components(met.select("u", "v"))
+    cells = met.select("doc_id", "cell", F.col("u").alias("node")).union(met.select("other_id", "other_cell", "v")).distinct()
+    label = F.hash(F.coalesce("root", "node"))
+    return cells.join(roots, "node", "left").select("doc_id", "cell", F.when(label == 0, 1).otherwise(label).alias("label"))
+
+
+def labelled(runs: DataFrame, places: DataFrame) -> DataFrame:
+    """(key, doc_id, lo, hi, l0, l1, ..): runs with the first labels of their places, 0 if there are no more."""
+    both = runs.select("doc_id", F.lit(0).alias("label"), "key", "lo", "hi").unionByName(places.select("doc_id", "label", F.lit(0).cast("long").alias("key"), F.col("cell").alias("lo"), F.lit(-1).alias("hi")))
+    both = both.repartition(partitions(runs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _whole_groups(batches, BATCH):
+            doc, label, key, lo, hi = (c.to_numpy() for c in b.columns)
+            name = _same(doc) << 32
+            has = np.flatnonzero(hi < 0)
+            has = has[np.argsort(name[has] + lo[has])]
+            known, its = np.append(name[has] + lo[has], -1), np.append(label[has], 0)
+            at = np.flatnonzero(hi >= 0)
+            low, high = (lo[at] + EDGE) // CELL, (hi[at] - EDGE) // CELL
+            out = []
+            for k in range(LABELS):
+                cell = name[at] + np.minimum(low + k, high)
+                place = np.searchsorted(known[:-1], cell)
+                out.append(np.where(known[place] == cell, its[place], 0).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[at], doc[at], lo[at], hi[at], *out)], ["key", "doc_id", "lo", "hi", *(f"l{k}" for k in range(LABELS))])
+
+    return both.mapInArrow(run, "key long, doc_id long, lo int, hi int, " + ", ".join(f"l{k} int" for k in range(LABELS)))
+
+
+def unlinked(texts: DataFrame, runs: DataFrame, passages: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b, la, ra, lb, rb): of each key all pairs of runs that may be similar and that no chain of verified passages links there."""
+    met = labelled(runs.select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("la").alias("lo"), F.col("ra").alias("hi")), places(passages))
+    met = met.repartition(partitions(texts.sparkSession), "key").sortWithinPartitions("key")
+
+    def separate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _whole_groups(batches, COMBINE):
+            for key, component, doc, lo, hi in _dealt(*apart(*(c.to_numpy() for c in b.columns))):
+                columns = doc, np.zeros(len(key), np.int32), key, component, np.maximum(lo - HALF, 0).astype(np.int32), (hi + HALF).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "side", "a", "b", "lo", "hi"])
+
+    asked = materialise(met.mapInArrow(separate, "doc_id long, side int, a long, b long, lo int, hi int"), "unlinked")
+    held = stretches(of_documents(texts, asked), asked).select("a", "b", "doc_id", "at", "h")
+    held = held.repartition(partitions(texts.sparkSession), "a").sortWithinPartitions("a")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, STEP):
+            key, component, doc, at = (batch.column(k).to_numpy() for k in range(4))
+            h = [np.frombuffer(x, np.uint32) for x in batch.column(4).to_pylist()]
+            end = at + np.array([len(x) for x in h]) - 1
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            found = []
+            for lo, hi in zip(start.tolist(), np.append(start[1:], len(key)).tolist()):
+                i, j = _Alike(doc[lo:hi], h[lo:hi], similarity).pairs(component[lo:hi])
+                found.append((lo + i, lo + j))
+            i, j = map(np.concatenate, zip(*found))
+            place = _place(at, end)
+            a, x, b, y = _hulls(*_turned(doc[i], place[i], doc[j], place[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, *_ends(x, y))], [c.split()[0] for c in _LINKS.split(", ")])
+
+    return held.mapInArrow(join, _LINKS)
 
 
 def needed(found: DataFrame) -> DataFrame:

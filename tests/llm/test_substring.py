@@ -270,3 +270,62 @@ def test_clashing_column_names_are_left_alone(spark):
     p = words(r, 80)
     df = table(spark, [(1, " ".join(p)), (2, " ".join(words(r, 20) + p))]).withColumns({"a": F.lit(9), "b": F.lit(8), "key": F.lit("k"), "side": F.lit(0), "h": F.lit(b"x"), "place": F.lit(1)})
     assert [(x.doc_id, x.start_word, x.end_word, x.other_id) for x in sub.repeated_passages(df).collect()] == [(2, 20, 100, 1)]
+
+
+def test_many_holders_of_a_part_do_not_hide_a_passage(spark):
+    """Two documents with one passage are linked, however many earlier ones hold a shorter part of it."""
+    r = random.Random(31)
+    rows, pairs = [], set()
+    for k in range(40):
+        passage = words(r, 54)
+        rows += [(1000 * k + v, " ".join(words(r, 40) + passage[7:47] + words(r, 40))) for v in range(60)]
+        rows += [(1000 * k + v, " ".join(words(r, 40) + passage + words(r, 40))) for v in (500, 501)]
+        pairs.add((1000 * k + 501, 1000 * k + 500))
+    found = {(x.doc_id, x.other_id) for x in sub.repeated_passages(table(spark, rows)).collect()}
+    assert found == pairs
+
+
+def test_pairs_link_all_that_every_pair_would(monkeypatch):
+    """Components of stretches, against the verification of each with each."""
+    r = np.random.default_rng(1)
+    n = 24
+
+    def components(of, edges):
+        for i, j in edges:
+            of = np.where(of == max(of[i], of[j]), min(of[i], of[j]), of)
+        return [of.tolist().index(c) for c in of]
+
+    for trial in range(30):
+        monkeypatch.setattr(sub, "PAIRS", (1 << 22, 3)[trial % 2])
+        base, h = r.integers(0, 1 << 32, 120, dtype=np.uint32), []
+        for _ in range(n):
+            at = int(r.integers(0, 40))
+            x = base[at : at + int(r.integers(50, 110))].copy()
+            changed = r.random(len(x)) < r.choice([0, 0.03, 0.06, 0.1, 0.2])
+            x[changed] = r.integers(0, 1 << 32, int(changed.sum()), dtype=np.uint32)
+            h.append(np.concatenate([x[:20], x[:20], x[20:]]) if r.random() < 0.2 else x)
+        doc, of = np.arange(n), r.integers(0, 8, n) if trial % 3 else np.arange(n)
+        every = {(i, j) for i in range(n) for j in range(i + 1, n) if sub.verify(h[i], h[j])}
+        got = set(zip(*(x.tolist() for x in sub._Alike(doc, h, sub.SIMILARITY).pairs(of))))
+        assert components(of, got & every) == components(of, every)
+
+
+def test_only_keys_that_passages_leave_apart_are_looked_at_again():
+    """Runs of one key are together by labels in common; a large group is dealt so that any two components of it meet."""
+    rows = [(1, 10, 0, 50, 7, 0), (1, 11, 0, 50, 7, 8), (1, 12, 0, 50, 8, 0), (2, 10, 5, 60, 7, 0), (2, 11, 5, 60, 9, 0), (2, 12, 5, 60, 0, 0), (3, 10, 0, 50, 0, 0), (3, 10, 90, 150, 0, 0)]
+    key, of, doc, lo, hi = sub.apart(*(np.array(c) for c in zip(*rows)))
+    assert key.tolist() == [2, 2, 2] and len(set(of.tolist())) == 3 and doc.tolist() == [10, 11, 12]
+
+
+@pytest.mark.parametrize("together", [2, 3, 50])
+def test_two_components_of_a_key_meet_in_some_task(monkeypatch, together):
+    monkeypatch.setattr(sub, "TOGETHER", together)
+    r = np.random.default_rng(6)
+    key, of = np.sort(r.integers(0, 3, 40)).astype(np.int64), r.integers(0, 9, 40)
+    met = set()
+    for name, c, doc in sub._dealt(key, of, np.arange(40)):
+        for k in set(name.tolist()):
+            part = doc[name == k].tolist()
+            met |= {(i, j) for i in part for j in part if i < j and of[i] != of[j]}
+            assert len(part) <= 2 * together
+    assert met == {(i, j) for i in range(40) for j in range(i + 1, 40) if key[i] == key[j] and of[i] != of[j]}
