@@ -29,6 +29,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -40,8 +41,10 @@ from arbiter.llm.pretokens import PLAIN, SPACE, BatchEncoder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
-#: Entries in a generation of a cache: about 80 MB.
-CACHE = 400_000
+#: Entries in a generation of a cache: about 40 MB. Workers keep their caches while later stages run.
+CACHE = 200_000
+#: Texts encoded together, however many rows a batch has.
+STEP = 1024
 
 #: Symbols up to which merging looks through all pairs each time; a rank above all.
 SHORT, NEVER = 48, 1 << 60
@@ -226,7 +229,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         e = encoder(path)
         for b in batches:
             n, ids_sha, decoded_sha, all_ids, all_decoded = [], [], [], [], []
-            for ids in e.encode_all(b.column(1).to_pylist()):
+            for ids in chain.from_iterable(e.encode_all(b.column(1).slice(k, STEP).to_pylist()) for k in range(0, b.num_rows, STEP)):
                 ids = ids.tobytes()
                 decoded = e.decode(ids)
                 n.append(len(ids) // 4)

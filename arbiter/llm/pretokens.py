@@ -19,8 +19,8 @@ import pyarrow as pa
 PLAIN = re.compile("[\x00-\x1b\x20-\x7e¡-¬®-±´-¸»¿-įĲ-ňŊ-ž]*")
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
-#: Code points worked on together: about 100 MB of arrays.
-TOGETHER = 1 << 22
+#: Code points worked on together: about 25 MB of arrays.
+TOGETHER = 1 << 20
 
 _SPACE, _LETTER, _DIGIT, _SIGN = range(4)
 _KINDS = bytes(_SPACE if c in "\t\n\v\f\r " else _LETTER if c.isalpha() else _DIGIT if c.isdecimal() else _SIGN for c in map(chr, range(0x180)))

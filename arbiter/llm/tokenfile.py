@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbiter.llm.bpe import CACHE, VOCABULARY, Generations, byte_alphabet, chunks_of, pre_tokens
+from arbiter.llm.bpe import VOCABULARY, Generations, byte_alphabet, chunks_of, pre_tokens
 from arbiter.llm.common import materialise, partitions, scratch
 from arbiter.llm.pretokens import BatchEncoder
 
@@ -55,6 +55,7 @@ END_ID = 1
 LENGTH = 2048
 ROWS = 256
 STEP = 2048  # documents encoded together
+CACHE = 400_000  # entries in a generation of a cache
 
 
 class LibraryEncoder:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from itertools import product
 
@@ -74,6 +75,22 @@ def test_caches_forget_and_stay_right(monkeypatch):
     assert bpe.Encoder().encode("zq xq zq " * 5) == np.array(library().encode("zq xq zq " * 5, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_a_large_batch_is_encoded_in_small_blocks():
+    """What a worker holds beside the texts does not grow with the rows of a batch."""
+    r = random.Random(3)
+    some = ["".join(r.choice("abcdefgh  ") for _ in range(400)) for _ in range(200)]
+    e = bpe.Encoder()
+    peaks, out = [], []
+    for times in (15, 60):
+        texts = some * times
+        tracemalloc.start()
+        out.append([x.tobytes() for x in e.encode_all(texts)])
+        peaks.append(tracemalloc.get_traced_memory()[1] - tracemalloc.get_traced_memory()[0])
+        tracemalloc.stop()
+    assert out[1] == out[0] * 4 and out[0][:200] == [e.encode(t) for t in some]
+    assert max(peaks) < 40e6
+
+
 def test_bpe_keeps_texts_on_demand_and_empty_tables(spark):
     df = documents(spark, ["Hello there", None])
     rows = {r.doc_id: r for r in bpe.encode_decode(df, texts=True).collect()}
