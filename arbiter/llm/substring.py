@@ -98,6 +98,12 @@ CELL, LABELS, EDGE = HALF, 4, 4  # shingles under one label, labels of a run's p
 LONGEST = 2048  # shingles of a stretch that is looked at for segments before its pairs are verified
 TOGETHER = 8192  # runs of a block where a key's unlinked runs are too many for one task
 PAIRS = 1 << 22  # pairs looked at together
+FIRST = 1 << 12  # and how many of them at first, as what they link needs no more pairs
+ROWS = 1024  # stretches whose shingles are counted together
+SCORE = 10_000  # of a hit, so that scores are whole numbers
+TRIES = 2  # pairs of two components that are verified in full before the rest of them wait for the verification of all
+LONG = 8 * WIDTH  # shingles of two stretches that wait for it at once
+MARKS = 1 << 22  # marks and shingles held at a time while pairs are looked at
 _POS = np.uint64((1 << 24) - 1)
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 _FACTORS = np.random.default_rng(20).integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -509,14 +515,25 @@ def _best_segment(hit: np.ndarray, share: float, width: int) -> tuple[int, int]
     return int(np.argmin(total[: end + 1])), end + width
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    x, y = np.unique(a), np.unique(b)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+def _among(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Which of the numbers x, below n, are in y."""
+    return _marks(y, n)[x]
 
 
-def _proposed(a: np.ndarray, b: np.ndarray, hit: np.ndarray, similarity: float, width: int) -> Iterator[tuple[int, int, tuple[int, int] | None]]:
-    """Segments of a and b that may be similar, the purest first.
+def _marks(x: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[x] = True
+    return out
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray, n: int) -> float:
+    x, y = _marks(a, n), _marks(b, n)
+    both = int(np.count_nonzero(x & y))
+    return both / max(1, int(np.count_nonzero(x)) + int(np.count_nonzero(y)) - both)
+
+
+def _proposed(a: np.ndarray, b: np.ndarray, n: int, hit: np.ndarray, similarity: float, width: int) -> Iterator[tuple[int, int, tuple[int, int] | None]]:
+    """Segments of a and b, numbers below n, that may be similar, the purest first.
 
     A similarity s means a share of 2 s / (1 + s) of each side if they are
     equally long, and of s at least whatever their lengths.
@@ -526,14 +543,14 @@ def _proposed(a: np.ndarray, b: np.ndarray, hit: np.ndarray, similarity: float,
     for one in shares:
         if (mine := _best_segment(hit, one, width)) is None:
             continue
-        there = np.isin(b, a[slice(*mine)])
+        there = _among(b, a[slice(*mine)], n)
         for two in shares:
             if (other := _best_segment(there, two, width)) is None:
                 yield *mine, None
                 continue
             yield *mine, other
-            if (less := _best_segment(np.isin(a, b[slice(*other)]), one, width)) and less != mine:
-                yield *less, _best_segment(np.isin(b, a[slice(*less)]), two, width)
+            if (less := _best_segment(_among(a, b[slice(*other)], n), one, width)) and less != mine:
+                yield *less, _best_segment(_among(b, a[slice(*less)], n), two, width)
 
 
 def verify(a: np.ndarray, b: np.ndarray, width: int = WIDTH, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
@@ -545,12 +562,16 @@ def verify(a: np.ndarray, b: np.ndarray, width: int = WIDTH, similarity: float =
     looked at again. One that fails is cut at its longest gap and its parts are
     looked at.
     """
-    hit, out, todo = np.isin(a, b), [], [(0, len(a))]
+    names, both = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b, n = both[: len(a)], both[len(a) :], len(names)
+    hit, out, todo = _among(a, b, n), [], [(0, len(a))]
     while todo:
         lo, hi = todo.pop()
+        if hi - lo < width or np.count_nonzero(hit[lo:hi]) < similarity * width - 1e-6:  # no segment has such a share
+            continue
         i = j = -1
-        for i, j, other in _proposed(a[lo:hi], b, hit[lo:hi], similarity, width):
-            if other and (x := _jaccard(a[lo + i : lo + j], b[slice(*other)])) >= similarity:
+        for i, j, other in _proposed(a[lo:hi], b, n, hit[lo:hi], similarity, width):
+            if other and (x := _jaccard(a[lo + i : lo + j], b[slice(*other)], n)) >= similarity:
                 out.append((lo + i, lo + j, *other, x))
                 todo += [(lo, lo + i), (lo + j, hi)]
                 break
@@ -564,6 +585,7 @@ def verify(a: np.ndarray, b: np.ndarray, width: int = WIDTH, similarity: float =
                 todo += [(lo + i, lo + i + int(edge[gap]) + 1), (lo + i + int(edge[gap + 1]), lo + j)]
     return out
 
+
 _PASSAGES = "doc_id long, start_word long, end_word long, other_id long, other_start long, other_end long, similarity double"
 
 
@@ -756,6 +778,40 @@ def _one_diagonal(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return length >= WIDTH and len(p) >= similarity * (2 * length - len(p))
 
 
+def _sharing(group: np.ndarray, component: np.ndarray, doc: np.ndarray, h: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The stretches, of groups one after another, that share as many shingles with other components of their group as a similar passage takes; all others are in no pair."""
+    size = np.array([len(x) for x in h])
+    both = np.sort(np.repeat(np.arange(len(h)) << 32, size) | np.concatenate(h))
+    both = both[np.diff(both, prepend=-1) != 0]
+    row = both >> 32
+    least = np.full(len(h), WIDTH)
+    for k in np.flatnonzero((np.bincount(row, minlength=len(h)) < size) | (size < WIDTH)).tolist():
+        least[k] = _fewest(h[k])
+    stays = np.arange(len(h))
+    while len(stays):
+        value = group[row] << 32 | both & (1 << 32) - 1
+        by = np.argsort(value)
+        value, of = value[by], component[row[by]]
+        start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+        differ = np.minimum.reduceat(of, start) != np.maximum.reduceat(of, start)
+        shared = np.bincount(row[by][np.repeat(differ, np.diff(np.append(start, len(value))))], minlength=len(h))[stays]
+        first = np.flatnonzero(np.diff(group[stays], prepend=-1))
+        fewest = np.repeat(np.minimum.reduceat(least[stays], first), np.diff(np.append(first, len(stays))))
+        left = stays[shared >= similarity / (1 + similarity) * (least[stays] + fewest) - 1e-9]
+        if not len(left):
+            return left
+        first = np.flatnonzero(np.diff(group[left], prepend=-1))
+        several = [np.minimum.reduceat(x[left], first) != np.maximum.reduceat(x[left], first) for x in (component, doc)]
+        left = left[np.repeat(several[0] & several[1], np.diff(np.append(first, len(left))))]
+        if len(left) > 0.9 * len(stays):
+            return left
+        stays = left
+        held = np.zeros(len(h), bool)
+        held[stays] = True
+        both, row = both[held[row]], row[held[row]]
+    return stays
+
+
 class _Alike:
     """Stretches of shingles, and which of them share as many as similar passages in them must.
 
@@ -769,19 +825,19 @@ class _Alike:
         pure = 2 * self.share
         self.levels = np.array([similarity, (similarity + pure) / 2, pure - 1e-3, (pure + 1) / 2])
         self.length = np.array([len(x) for x in h])
-        self.least = np.array([_fewest(x) for x in h])
-        sets = [np.unique(x) for x in h]
-        self.size = np.array([len(x) for x in sets])
+        values, each = np.unique(np.concatenate(h), return_inverse=True)
+        self.none, at = len(values), np.repeat(np.arange(len(h)), self.length)
+        both = np.sort(at * self.none + each)
+        row, shingle = np.divmod(both[np.diff(both, prepend=-1) != 0], self.none)
+        self.size, count = np.bincount(row, minlength=len(h)), np.bincount(shingle)
+        self.least = np.full(len(h), WIDTH)
+        for k in np.flatnonzero((self.size < self.length) | (self.length < WIDTH)).tolist():
+            self.least[k] = _fewest(h[k])
         self.begin = np.cumsum(self.size) - self.size
-        row = np.repeat(np.arange(len(h)), self.size)
-        values, shingle, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        by = np.lexsort((shingle, count[shingle], row))
-        self.shingle = shingle[by]
-        self.mine = np.zeros(len(count) + 1, bool)
-        self.places = np.full((len(h), min(LONGEST, max(map(len, h)))), len(count))  # the shingles in their order; the last number stands for none
-        for k, x in enumerate(h):
-            if len(x) <= LONGEST:
-                self.places[k, : len(x)] = np.searchsorted(values, x)
+        self.shingle = shingle[np.lexsort((shingle, count[shingle], row))]
+        self.places = np.full((len(h), max(WIDTH, min(LONGEST, int(self.length.max())))), self.none)  # the shingles in their order
+        short = self.length[at] <= LONGEST
+        self.places[at[short], _spans(np.zeros(len(h), np.int64), self.length)[1][short]] = each[short]
         need = np.ceil(self.share * (self.least + self.least.min()) - 1e-9).astype(np.int64)
         rare = (np.arange(len(row)) - self.begin[row] <= self.size[row] - need[row]) & (count[self.shingle] > 1)
         self.rows, self.by = row[rare], self.shingle[rare]
@@ -801,30 +857,48 @@ class _Alike:
 
     def _segment(self, hit: np.ndarray, share: float) -> np.ndarray:
         """Whether rows of hits have a segment of `WIDTH` places or more with that share."""
-        total = np.zeros((len(hit), hit.shape[1] + 1))
-        np.cumsum(np.where(hit, 1.0, -share / (1 - share)), axis=1, out=total[:, 1:])
-        return (total[:, WIDTH:] - np.minimum.accumulate(total[:, : total.shape[1] - WIDTH], axis=1)).max(axis=1) > -1e-9
+        loss = int(SCORE * share / (1 - share))
+        if len(hit) < 2 * WIDTH:
+            total = np.zeros((len(hit), hit.shape[1] + 1), np.int32)
+            np.cumsum(np.where(hit, np.int32(SCORE), np.int32(-loss)), axis=1, out=total[:, 1:])
+            return (total[:, WIDTH:] - np.minimum.accumulate(total[:, : total.shape[1] - WIDTH], axis=1)).max(axis=1) >= 0
+        score = np.where(hit.T, np.int32(SCORE), np.int32(-loss))  # place by place, for all rows together
+        total = np.zeros((len(score) + 1, len(hit)), np.int32)
+        low, best = np.zeros(len(hit), np.int32), np.full(len(hit), -1, np.int32)
+        for k in range(len(score)):
+            np.add(total[k], score[k], out=total[k + 1])
+            if k + 1 >= WIDTH:
+                np.minimum(low, total[k + 1 - WIDTH], out=low)
+                np.maximum(best, total[k + 1] - low, out=best)
+        return best >= 0
 
     def _level(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """How many of `levels` a segment of j reaches; none if the pair, of pairs sorted by i, doesn't share enough in all."""
-        level = np.zeros(len(i), np.int64)
-        start = np.flatnonzero(np.diff(i, prepend=-1))
-        for lo, hi in zip(start.tolist(), np.append(start[1:], len(i)).tolist()):
-            x = i[lo]
-            self.mine[self.shingle[self.begin[x] : self.begin[x] + self.size[x]]] = True
-            for k in range(lo, hi, STEP):
-                y = j[k : min(k + STEP, hi)]
-                of, where = _spans(self.begin[y], self.size[y])
-                both = np.bincount(of[self.mine[self.shingle[where]]], minlength=len(y))
-                enough = both >= self.share * (self.least[x] + self.least[y]) - 1e-9
-                level[k : k + len(y)] = np.where(enough, len(self.levels), 0)
-                some = np.flatnonzero(enough & (self.length[y] <= LONGEST))
-                level[k + some] = 0
-                for share in self.levels:
-                    if len(some):
-                        some = some[self._segment(self.mine[self.places[y[some]]], share)]
-                        level[k + some] += 1
-            self.mine[self.shingle[self.begin[x] : self.begin[x] + self.size[x]]] = False
+        level, lo = np.zeros(len(i), np.int64), 0
+        most, rows = max(1, MARKS // 4 // int(self.size.max())), max(1, MARKS // (self.none + 1))
+        of_i = np.cumsum(np.diff(i, prepend=-1) != 0)
+        while lo < len(i):
+            hi = min(lo + most, int(np.searchsorted(of_i, of_i[lo] + rows)))
+            known, its = np.unique(i[lo:hi], return_inverse=True)
+            x, y = i[lo:hi], j[lo:hi]
+            of, where = _spans(self.begin[known], self.size[known])
+            mine = np.zeros((len(known), self.none + 1), bool)
+            mine[of, self.shingle[where]] = True
+            need, some = self.share * (self.least[x] + self.least[y]) - 1e-9, np.arange(len(y))
+            if (long := np.flatnonzero(self.length[y] > LONGEST)).size:
+                of, where = _spans(self.begin[y[long]], self.size[y[long]])
+                both = np.bincount(of[mine[its[long][of], self.shingle[where]]], minlength=len(long))
+                level[lo + long[both >= need[long]]] = len(self.levels)
+                some = np.flatnonzero(self.length[y] <= LONGEST)
+            hit = mine[its[some, None], self.places[y[some], : int(self.length[y[some]].max(initial=WIDTH))]]
+            enough = hit.sum(axis=1) >= need[some]  # repeated shingles count again here
+            some, hit = some[enough], hit[enough]
+            for share in self.levels:
+                if len(some):
+                    reached = self._segment(hit, share)
+                    some, hit = some[reached], hit[reached]
+                    level[lo + some] += 1
+            lo = hi
         return level
 
     def numbers(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -838,7 +912,8 @@ class _Alike:
 
         First each component is held against the next one of each shingle, and
         those that turn out similar are one from there on, until there are no
-        more. Then each is held against each.
+        more. Then each is held against each, and what turns out similar makes
+        one of two again: its other pairs link nothing more.
         """
         n, tried, linked = len(self.h), np.empty(0, np.int64), []
         while True:
@@ -854,10 +929,9 @@ class _Alike:
             more = []
             for k in new[np.argsort(self.apart(new), kind="stable")].tolist():  # a passage twice in one document first
                 i, j = divmod(k, n)
-                if component[i] != component[j] and (_one_diagonal(self.h[i], self.h[j], self.similarity) or verify(self.h[i], self.h[j], similarity=self.similarity)):
+                if component[i] != component[j] and self._similar(i, j):
                     more.append(k)
-                    low, high = sorted((component[i], component[j]))
-                    component = np.where(component == high, low, component)
+                    component = self._one(component, i, j)
             linked += more
             if not more:
                 break
@@ -865,15 +939,41 @@ class _Alike:
         ends = np.append(np.flatnonzero(w[1:] != w[:-1]) + 1, len(r))
         at = np.arange(len(r))
         after, ends = after[np.searchsorted(after, at, side="right")], ends[np.searchsorted(ends, at, side="right")]
-        made, seen = np.cumsum(ends - after), np.empty(0, np.int64)
+        made, seen, rest, tried_of, most = np.cumsum(ends - after), np.empty(0, np.int64), [], {}, min(FIRST, PAIRS)
         while len(at):
-            cut = max(1, int(np.searchsorted(made, made[0] - (ends - after)[0] + PAIRS, side="right")))
+            cut = max(1, int(np.searchsorted(made, made[0] - (ends - after)[0] + most, side="right")))
             row, to = _spans(after[:cut], (ends - after)[:cut])
-            new = np.setdiff1d(self.numbers(r[at[:cut]][row], r[to]), seen)
+            row = at[:cut][row]
+            differ = component[r[row]] != component[r[to]]
+            new = np.setdiff1d(self.numbers(r[row[differ]], r[to[differ]]), seen)
             new = new[self.apart(new)]
-            seen = np.union1d(seen, self.may_link(new))
-            at, after, ends, made = at[cut:], after[cut:], ends[cut:], made[cut:]
-        return self._out(linked, seen)
+            if len(seen) < PAIRS:
+                seen = np.union1d(seen, new)
+            new = self.may_link(new)
+            for k in new.tolist():
+                i, j = divmod(k, n)
+                if component[i] == component[j]:
+                    continue
+                two = int(min(component[i], component[j])), int(max(component[i], component[j]))
+                failed = tried_of.get(two, 0)
+                if self._similar(i, j) if failed < TRIES and self.length[i] + self.length[j] < LONG else _one_diagonal(self.h[i], self.h[j], self.similarity):
+                    linked.append(k)
+                    component = self._one(component, i, j)
+                else:
+                    rest.append(k)
+                    tried_of[two] = failed + 1
+            at, after, ends, made, most = at[cut:], after[cut:], ends[cut:], made[cut:], min(4 * most, PAIRS)
+        rest = np.array(rest, np.int64)  # they are verified with all that their documents share
+        return self._out(linked, rest[component[rest // n] != component[rest % n]])
+
+    def _similar(self, i: int, j: int) -> bool:
+        return _one_diagonal(self.h[i], self.h[j], self.similarity) or bool(verify(self.h[i], self.h[j], similarity=self.similarity))
+
+    @staticmethod
+    def _one(component: np.ndarray, i: int, j: int) -> np.ndarray:
+        """The components with those of i and j as one."""
+        low, high = sorted((component[i], component[j]))
+        return np.where(component == high, low, component)
 
     def _out(self, linked: list[int], rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = np.union1d(np.array(linked, np.int64), rest)
@@ -935,15 +1035,17 @@ def unlinked(texts: DataFrame, runs: DataFrame, passages: DataFrame, similarity:
     held = held.repartition(partitions(texts.sparkSession), "a").sortWithinPartitions("a")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches, STEP):
+        for batch in _whole_groups(batches, ROWS):
             key, component, doc, at = (batch.column(k).to_numpy() for k in range(4))
             h = [np.frombuffer(x, np.uint32) for x in batch.column(4).to_pylist()]
             end = at + np.array([len(x) for x in h]) - 1
-            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            found = []
-            for lo, hi in zip(start.tolist(), np.append(start[1:], len(key)).tolist()):
-                i, j = _Alike(doc[lo:hi], h[lo:hi], similarity).pairs(component[lo:hi])
-                found.append((lo + i, lo + j))
+            group = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+            some = _sharing(group, component, doc, h, similarity)
+            start = np.flatnonzero(np.diff(group[some], prepend=-1))
+            found = [(some[:0], some[:0])]
+            for one in np.split(some, start[1:]) if len(some) else ():
+                i, j = _Alike(doc[one], [h[k] for k in one], similarity).pairs(component[one])
+                found.append((one[i], one[j]))
             i, j = map(np.concatenate, zip(*found))
             place = _place(at, end)
             a, x, b, y = _hulls(*_turned(doc[i], place[i], doc[j], place[j]))

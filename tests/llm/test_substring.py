@@ -310,6 +310,40 @@ def test_pairs_link_all_that_every_pair_would(monkeypatch):
         assert components(of, got & every) == components(of, every)
 
 
+def test_similar_components_are_linked_by_few_pairs():
+    """Of two components whose neighbours aren't similar one pair of similar stretches is enough, not each with each."""
+    r = np.random.default_rng(2)
+    fresh = lambda n: r.integers(0, 1 << 32, n, dtype=np.uint32)
+    passage = fresh(80)
+    thin = lambda: np.stack([passage, fresh(80)], axis=1).ravel()
+    whole = lambda: np.concatenate([fresh(5), passage, fresh(5)])
+    h = [*(whole() for _ in range(30)), thin(), thin(), *(whole() for _ in range(30))]
+    i, j = sub._Alike(np.arange(62), h, sub.SIMILARITY).pairs(np.repeat([0, 31], 31))
+    assert 1 <= len(i) <= 3 and any(len(sub.verify(h[a], h[b])) and a < 31 <= b for a, b in zip(i, j))
+
+
+def test_stretches_with_too_few_shared_shingles_have_no_segments():
+    r = np.random.default_rng(8)
+    a, b = (r.integers(0, 1 << 32, 200, dtype=np.uint32) for _ in range(2))
+    b[100:136] = a[20:56]  # 36 of 46 are less than 0.8
+    assert sub.verify(a, b) == [] and sub.verify(a[:0], b) == [] and sub.verify(a, b[:0]) == []
+    b[100:146] = a[20:66]
+    ((lo, hi, low, high, s),) = sub.verify(a, b)
+    assert lo <= 20 and hi >= 66 and low <= 100 and high >= 146 and s >= 0.8
+
+
+def test_stretches_that_share_too_little_are_left_out_before_they_are_compared():
+    r = np.random.default_rng(7)
+    h = [r.integers(0, 1 << 32, 92, dtype=np.uint32) for _ in range(12)]
+    h[1][10:70] = h[0][20:80]  # similar
+    h[3][40:60] = h[2][5:25]  # not enough
+    h[5][:60] = h[4][:60]  # of one component
+    h[7][:60] = h[6][:60]  # of one document
+    group, component, doc = np.arange(12) // 2, np.arange(12), np.arange(12)
+    component[5], doc[7] = 4, 6
+    assert sub._sharing(group, component, doc, h, sub.SIMILARITY).tolist() == [0, 1]
+
+
 def test_only_keys_that_passages_leave_apart_are_looked_at_again():
     """Runs of one key are together by labels in common; a large group is dealt so that any two components of it meet."""
     rows = [(1, 10, 0, 50, 7, 0), (1, 11, 0, 50, 7, 8), (1, 12, 0, 50, 8, 0), (2, 10, 5, 60, 7, 0), (2, 11, 5, 60, 9, 0), (2, 12, 5, 60, 0, 0), (3, 10, 0, 50, 0, 0), (3, 10, 90, 150, 0, 0)]
