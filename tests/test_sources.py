@@ -5,7 +5,7 @@ import json
 import pytest
 
 from arbiter.errors import DataValidationError
-from arbiter.sources import domain, notes, rest, sinks
+from arbiter.sources import domain, notes, rest, sinks, strict
 from arbiter.sources.strict import fingerprints, loads, records
 
 
@@ -178,3 +178,28 @@ def test_run_folders(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.stable_json(float("nan"))
     assert [p.name for p in tmp_path.iterdir() if p.name.startswith(".")] == []
+
+
+def test_large_line_files_are_read_in_splits(spark, tmp_path):
+    """The same rows and places as a whole file gives, by tasks that each hold a part of it."""
+    pad = "x" * 400
+    lines = [json.dumps({"document_id": f"d{i}", "expert_id": f"é{i}", "reason": pad}, ensure_ascii=False) + ("\r" if i % 5 == 0 else "") for i in range(9000)]
+    path = tmp_path / "c"
+    path.mkdir()
+    (path / "large.jsonl").write_bytes(b"\xef\xbb\xbf" + "\n\n".join(lines).encode())
+    (path / "small.json").write_text(json.dumps([{"document_id": "a", "expert_id": "b"}]))
+    reader = strict.read_records(spark, str(path), domain.conflict_row, domain.schemas.CONFLICTS)
+    assert reader.rdd.getNumPartitions() > 2
+    got = {r.document_id: (r.expert_id, r.position) for r in domain.load_conflicts(spark, str(path)).collect()}
+    assert got == {"a": ("b", 0)} | {f"d{i}": (f"é{i}", i) for i in range(9000)}
+    with pytest.raises(DataValidationError, match="more than 8999"):
+        domain.load_conflicts(spark, str(path), max_records=8999)
+    with pytest.raises(DataValidationError, match="blank"):
+        strict.read_records(spark, str(path), domain.conflict_row, domain.schemas.CONFLICTS, blank_lines=False)
+    for bad, said in ((b'{"document_id":"d","expert_id":"\xff"}', "UTF-8"), (b"[1]", "object"), (b'{"document_id":"d","document_id":"d","expert_id":"e"}', "repeats"), (b'{"a":', "not JSON")):
+        (path / "large.jsonl").write_bytes("\n".join(lines).encode() + b"\n" + bad)
+        with pytest.raises(DataValidationError, match=said):
+            domain.load_conflicts(spark, str(path))
+    # Large files of other shapes are still read whole.
+    (path / "large.jsonl").write_text(json.dumps([json.loads(x) for x in lines], indent=1))
+    assert domain.load_conflicts(spark, str(path)).count() == 9001
