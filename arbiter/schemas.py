@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,30 +40,38 @@ def unique(rows: DataFrame, what: str, *keys: str) -> None:
     refuse(rows.groupBy(*keys).count().filter("count > 1"), f"{what} must be unique", *keys)
 
 
+def _rules(rows: DataFrame, what: str, key: str, rules: list[tuple[Column, str]]) -> DataFrame:
+    """All rules of rows in one pass, then the ids' uniqueness; what is broken first in the list is named."""
+    found = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.bool_or(bad), F.lit(False)).alias(f"r{k}") for k, (bad, _) in enumerate(rules)]).first()
+    for k, (bad, message) in enumerate(rules):
+        if k == 1:
+            unique(rows, f"{what} ids", key)
+        if found[f"r{k}"]:
+            refuse(rows.filter(bad), message, key)
+    if not found.n:
+        raise DataValidationError(f"one {what} at least is required")
+    return rows
+
+
 def check_documents(documents: DataFrame) -> DataFrame:
     """Ids are valid and unique, titles not blank, demands 1 at least, and there is one row."""
-    refuse(documents.filter(~identifier_ok(F.col("document_id"))), "document ids must be non-empty, stripped and printable", "document_id")
-    unique(documents, "document ids", "document_id")
-    refuse(documents.filter(blank(F.col("title"))), "document titles must not be blank", "document_id")
-    refuse(documents.filter("required_experts < 1"), "required_experts must be positive", "document_id")
-    if documents.isEmpty():
-        raise DataValidationError("one document at least is required")
-    return documents
+    return _rules(documents, "document", "document_id", [
+        (~identifier_ok(F.col("document_id")), "document ids must be non-empty, stripped and printable"),
+        (blank(F.col("title")), "document titles must not be blank"),
+        (F.expr("required_experts < 1"), "required_experts must be positive"),
+    ])
 
 
 def check_experts(experts: DataFrame) -> DataFrame:
     """Ids are valid and unique, capacities not negative, seniority, bids and years in their ranges."""
-    refuse(experts.filter(~identifier_ok(F.col("expert_id"))), "expert ids must be non-empty, stripped and printable", "expert_id")
-    unique(experts, "expert ids", "expert_id")
-    refuse(experts.filter(F.col("capacity").isNull() | (F.col("capacity") < 0)), "capacities must not be negative", "expert_id")
-    refuse(experts.filter(~(finite(F.col("seniority")) & F.col("seniority").between(0, 1))), "seniority must be in [0, 1]", "expert_id")
-    refuse(experts.filter(F.exists(F.map_values("bids"), lambda b: ~(finite(b) & b.between(-1, 1)))), "bids must be in [-1, 1]", "expert_id")
-    years = F.exists("publications", lambda p: p["year"].isNotNull() & ~p["year"].between(1800, 2200))
-    refuse(experts.filter(years), "publication years must be from 1800 to 2200", "expert_id")
-    refuse(experts.filter(F.exists("publications", lambda p: blank(p["title"]))), "publication titles must not be blank", "expert_id")
-    if experts.isEmpty():
-        raise DataValidationError("one expert at least is required")
-    return experts
+    return _rules(experts, "expert", "expert_id", [
+        (~identifier_ok(F.col("expert_id")), "expert ids must be non-empty, stripped and printable"),
+        (F.col("capacity").isNull() | (F.col("capacity") < 0), "capacities must not be negative"),
+        (~(finite(F.col("seniority")) & F.col("seniority").between(0, 1)), "seniority must be in [0, 1]"),
+        (F.exists(F.map_values("bids"), lambda b: ~(finite(b) & b.between(-1, 1))), "bids must be in [-1, 1]"),
+        (F.exists("publications", lambda p: p["year"].isNotNull() & ~p["year"].between(1800, 2200)), "publication years must be from 1800 to 2200"),
+        (F.exists("publications", lambda p: blank(p["title"])), "publication titles must not be blank"),
+    ])
 
 
 def check_references(pairs: DataFrame, documents: DataFrame, experts: DataFrame, what: str) -> DataFrame:
