@@ -14,6 +14,7 @@ from arbiter.errors import DataValidationError
 from arbiter.functions.text import clean_labels
 from arbiter.schemas import refuse, unique
 from arbiter.sources.strict import checked, read_records
+from arbiter.storage import materialise
 
 #: Where metadata comes from and what it is called. Fixed values.
 _METADATA = (("forum", "openreview_forum"), ("invitation", "openreview_invitation"), ("venueid", "openreview_venue"))
@@ -128,7 +129,7 @@ def load_snapshot(spark: SparkSession, submissions: str, profiles: str, publicat
     refuse(papers.join(p, "expert_id", "left_anti"), "publications of unknown reviewers", "expert_id")
     unique(papers, "a reviewer's publications", "expert_id", "id")
     p = p.withColumns({c: clean_labels(F.col(c)) for c in ("topics", "keywords")})
-    return load_submissions(spark, submissions), schemas.check_experts(_experts(p, papers, capacity))
+    return load_submissions(spark, submissions), schemas.check_experts(materialise(_experts(p, papers, capacity), "experts"))
 
 
 def load_reviewer_ids(spark: SparkSession, path: str, capacity: int = 3) -> DataFrame:
