@@ -1,7 +1,9 @@
 """Assignment: relational pruning, a kernel for each independent part, the ranked plan.
 
 Scores are pruned to admissible pairs before anything leaves the JVM, and only
-ids, scores and limits do. Parts of the pair graph that share no expert and no
+ids, scores and limits do. Of these, `optimal`, `greedy` and `minmax` only get
+the pairs that a plan can hold (`contenders`), so what a kernel gets grows with
+documents and slots, not with experts. Parts of the pair graph that share no expert and no
 document don't influence each other under `optimal` and `greedy`; beyond
 `split_pairs` pairs each part is solved in a task of its own. The other
 strategies have one bound for the whole run (a load cap, a score floor, a
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from arbiter.config import MatchConfig
 from arbiter.errors import DataValidationError
+from arbiter.functions.numbers import FIXED
 from arbiter.operators.components import components
 from arbiter.operators.solvers import Problem, solve
 from arbiter.schemas import unique
@@ -80,11 +83,31 @@ def places_of(ids: DataFrame, key: str) -> DataFrame:
     return ranged.withColumn("here", here).join(F.broadcast(before), "part").select(key, (F.col("here") + F.col("before")).alias("place"))
 
 
+def contenders(pairs: DataFrame, slots: int, config: MatchConfig, *keys: str) -> DataFrame:
+    """Of each document the first `slots` pairs in a strategy's own order (of each institution and seniority, where these count).
+
+    No plan loses by it. All other slots together use fewer experts than that,
+    so beside a pair further down there is always one of the first whose
+    expert has no document: it may be taken instead, by all rules, and comes
+    first in what the strategy compares. Other strategies get all pairs.
+    """
+    if config.strategy not in ("optimal", "greedy", "minmax"):
+        return pairs
+    groups = [*keys, "document_id"] + ["senior"] * bool(config.minimum_senior_reviewers) + ["institution"] * config.require_distinct_institutions
+    best = F.col("total") if config.strategy == "greedy" else F.rint(F.col("total") * FIXED)
+    order = Window.partitionBy(*groups).orderBy(best.desc(), "expert_id")
+    return pairs.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= slots).drop("at")
+
+
+def slots_of(documents: DataFrame, config: MatchConfig) -> int:
+    return demands(documents, config).agg(F.sum("demand").alias("n")).first().n or 0
+
+
 def solver_input(scores: DataFrame, documents: DataFrame, experts: DataFrame, config: MatchConfig) -> DataFrame:
     """The pruned pairs with all that a kernel needs; documents without a pair stand there with no expert."""
     places = places_of(experts.select("expert_id"), "expert_id")
     pairs = admissible(scores, config).select("document_id", "expert_id", "total")
-    pairs = pairs.join(limits(experts, config).filter("capacity > 0").join(places, "expert_id"), "expert_id")
+    pairs = contenders(pairs.join(limits(experts, config).filter("capacity > 0"), "expert_id"), slots_of(documents, config), config).join(places, "expert_id")
     return demands(documents, config).join(pairs, "document_id", "left")
 
 
@@ -105,7 +128,7 @@ def choose(scores: DataFrame, documents: DataFrame, experts: DataFrame, config:
     pairs = admissible(scores, config)
     unique(pairs, "admissible pairs", "document_id", "expert_id")
     _check_pairs(pairs, config)
-    rows = solver_input(scores, documents, experts, config)
+    rows = materialise(solver_input(scores, documents, experts, config), "problem")
     if config.strategy in ("optimal", "greedy"):
         edges = rows.filter("expert_id is not null")
         if edges.count() > split_pairs:

@@ -2,13 +2,15 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
+import pandas as pd
 import pytest
 from domain_tables import conflicts, documents, experts, scores
 
 from arbiter.config import MatchConfig
 from arbiter.errors import DataValidationError
-from arbiter.operators import audit
+from arbiter.operators import assignment, audit
 from arbiter.operators.assignment import assign, diagnostics, run_status, unmet
 from arbiter.operators.components import components
 from arbiter.plans.matching import run_matching
@@ -123,3 +125,27 @@ def test_a_whole_run_does_not_depend_on_row_order_or_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     plan = lambda run: [(r.document_id, r.expert_id, r["rank"], round(r.score, 9)) for r in run.assignments.orderBy("document_id", "rank").collect()]
     assert plan(first) == plan(second) and first.audit.first().safe and first.plan_record()["strategy"] == "optimal-diverse"
+
+
+@pytest.mark.parametrize("options", [{}, {"load_balance_penalty": 0.2}, {"require_distinct_institutions": True}, {"minimum_senior_reviewers": 1}, {"strategy": "greedy", "load_balance_penalty": 0.3}, {"strategy": "greedy", "require_distinct_institutions": True}, {"strategy": "minmax"}])
+def test_kernels_get_the_pairs_that_a_plan_can_hold(spark, options):
+    """The pairs that a kernel gets don't grow with the experts, and its plan is that of all pairs."""
+    rng = random.Random(5)
+    d = spark.createDataFrame([(f"d{i}", f"d{i}", 1 + i % 2) for i in range(4)], "document_id string, title string, required_experts int")
+    people = [(f"e{i:03}", "n", rng.randrange(3), rng.choice([None, "a", "b", "c"]), rng.choice([0.0, 1.0])) for i in range(120)]
+    e = spark.createDataFrame(people, "expert_id string, name string, capacity int, institution string, seniority double")
+    # Scores repeat, so many experts are tied, and two documents want the same ones.
+    rows = [(f"d{i}", x[0], rng.randrange(6) / 5 if i < 2 else int(x[0][1:]) // 20 / 6, True) for i in range(4) for x in people]
+    table = spark.createDataFrame(rows, "document_id string, expert_id string, total double, eligible boolean")
+    config = MatchConfig(**options)
+    got = assignment.solver_input(table, d, e, config).toPandas()
+    groups = (4 if config.require_distinct_institutions else 1) * (2 if config.minimum_senior_reviewers else 1)
+    assert len(got) <= 4 * 6 * groups
+    whole = [{"document_id": q[0], "expert_id": q[1], "total": q[2], "demand": 1 + int(q[0][1]) % 2, "capacity": x[2], "institution": x[3], "senior": x[4] >= config.senior_threshold, "place": k} for q in rows for k, x in enumerate(people) if x[0] == q[1] and x[2] > 0]
+    want = assignment.solve(assignment._problem(pd.DataFrame(whole)), config)
+    chosen = {tuple(r) for r in assignment.choose(table, d, e, config).collect()}
+    score = {q[:2]: q[2] for q in rows}
+    loads = lambda plan: sorted(Counter(x for _, x in plan).values())
+    figures = lambda plan: (len(plan), sum(round(score[q] * 1_000_000) for q in plan), sum(int(x[1:]) for _, x in plan), loads(plan))
+    assert figures(chosen) == figures(want)
+    assert config.strategy != "greedy" or chosen == want
