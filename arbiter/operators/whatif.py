@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from arbiter.config import MatchConfig
 from arbiter.errors import DataValidationError
 from arbiter.operators import audit
-from arbiter.operators.assignment import _selected, admissible, demands, limits, places_of
+from arbiter.operators.assignment import _selected, admissible, contenders, demands, limits, places_of, slots_of
 from arbiter.schemas import check_references, refuse
 from arbiter.storage import materialise
 
@@ -96,6 +96,7 @@ def compare(scenarios: tuple[Scenario, ...], scores_without_conflicts: DataFrame
     room = ids.crossJoin(limits(experts, config).join(places_of(experts.select("expert_id"), "expert_id"), "expert_id"))
     room = room.join(caps, ["scenario", "expert_id"], "left").withColumn("capacity", F.coalesce("override", "capacity")).drop("override")
     pairs = admissible(scores_without_conflicts, config).select(*pair, "total").join(room.filter("capacity > 0"), "expert_id").join(held, keys, "left_anti")
+    pairs = contenders(pairs, slots_of(documents, config), config, "scenario")
     problems = ids.crossJoin(demands(documents, config)).join(pairs, ["scenario", "document_id"], "left")
     chosen = _selected(problems, config, "scenario").join(scores_without_conflicts.select(*pair, F.col("total").alias("score")), pair)
     chosen = chosen.select(*keys, "score", F.row_number().over(Window.partitionBy("scenario", "document_id").orderBy(F.desc("score"), "expert_id")).alias("rank"))
