@@ -88,9 +88,9 @@ def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents, experts and conflicts; the joined lines are made once and shared."""
+    """Documents, experts and conflicts; the joined lines and both sides are made once and shared."""
     lines = materialise(by_nation(spark, sf_dir), "lines")
-    return documents(spark, sf_dir, lines), materialise(experts(spark, sf_dir, lines, lines), "experts"), conflicts(spark, sf_dir)
+    return materialise(documents(spark, sf_dir, lines), "documents"), materialise(experts(spark, sf_dir, lines, lines), "experts"), conflicts(spark, sf_dir)
 
 
 def fixed_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
