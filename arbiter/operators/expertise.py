@@ -3,7 +3,9 @@
 Evidence is a table of token arrays; everything else is term counts joined on
 terms. The units that document frequencies and lengths are taken over are
 reviewers (`aggregate`) or evidence items (`max`, `average`), and never the
-submissions. The only pair table is the one of the result.
+submissions. Scoring only looks at postings of terms that are asked for. The
+only pair table is the one of the result: best items are found inside the
+tasks, and means are taken of a reviewer's items before submissions are met.
 
 Raw scores are rounded at the 12th decimal before they are ranked, so a tie
 doesn't depend on the order of a sum; the earlier evidence wins it.
@@ -11,8 +13,12 @@ doesn't depend on the order of a sum; the earlier evidence wins it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +28,15 @@ from arbiter.functions.numbers import robertson_idf, smooth_idf, sublinear, unit
 from arbiter.functions.terms import document_frequencies, term_counts
 from arbiter.functions.text import blank, casefold, strip, tokens_split_first
 from arbiter.schemas import refuse
+from arbiter.storage import materialise
 
 DIGITS = 12
 
+#: Terms whose weights go to every task, terms of submissions that do, and cells of a task's score matrix. Fixed values.
+COMMON, HELD, CELLS = 200_000, 5_000_000, 2_000_000
+
+_TOLD = pa.schema([("document_id", pa.string()), ("expert_id", pa.string()), ("key", pa.float64()), ("ord", pa.int64()), ("unit", pa.string()), ("raw", pa.float64())])
+
 
 @dataclass(frozen=True)
 class Corpus:
@@ -142,34 +154,128 @@ def fit(evidence: DataFrame, reviewers: DataFrame, config: ExpertiseConfig) -> M
         units = evidence.groupBy("expert_id").agg(F.sum(F.size("tokens")).alias("length"), F.count("*").alias("items"))
         units = units.select(F.col("expert_id").alias("unit"), "expert_id", F.concat(F.lit("aggregate:"), "expert_id").alias("evidence_id"), F.lit(0).cast("long").alias("ord"), "length", "items")
     else:
-        counts = term_counts(evidence, "evidence_id")
+        # Dealt by item as token lists, which are shorter than their postings; these are counted and thinned where they arrive.
+        counts = term_counts(evidence.select("evidence_id", "tokens").repartition("evidence_id"), "evidence_id")
         postings = counts.select(F.col("evidence_id").alias("unit"), "term", "tf")
         units = evidence.select(F.col("evidence_id").alias("unit"), "expert_id", "evidence_id", "ord", F.size("tokens").cast("long").alias("length"), F.lit(1).cast("long").alias("items"))
     stats = units.agg(F.count("*").alias("n_units"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average_length"))
-    rule = smooth_idf if config.model == "tfidf" else robertson_idf
-    idf = document_frequencies(postings).crossJoin(stats.select("n_units"))  # stats is one row
-    idf = idf.select("term", "df", rule(F.col("n_units"), F.col("df")).alias("idf"))
+    idf = _idf(postings, stats, config)
     _guard(config, "max_vocabulary_terms", idf)
     return Model(postings, units, idf, stats, reviewers, config)
 
 
-def term_values(model: Model, submissions: DataFrame) -> DataFrame:
-    """(document_id, unit, term, value): what each shared term adds to a pair's raw score."""
+def _idf(postings: DataFrame, stats: DataFrame, config: ExpertiseConfig) -> DataFrame:
+    rule = smooth_idf if config.model == "tfidf" else robertson_idf
+    rows = document_frequencies(postings).crossJoin(stats.select("n_units"))  # stats is one row
+    return rows.select("term", "df", rule(F.col("n_units"), F.col("df")).alias("idf"))
+
+
+def _norms(model: Model) -> DataFrame:
+    """(unit, norm) over all terms of a unit. The commonest terms are weighed where a unit's postings are; only the rest are dealt by term."""
+    idf = materialise(model.idf.select("term", "df", "idf"), "idf")
+    common = materialise(idf.orderBy(F.desc("df"), "term").limit(COMMON).select("term", F.col("idf").alias("known")), "common-terms")
+    rows = model.postings.join(F.broadcast(common), "term", "left")
+    square = lambda idf: (sublinear(F.col("tf")) * F.col(idf)) * (sublinear(F.col("tf")) * F.col(idf))
+    here = rows.filter("known is not null").select("unit", square("known").alias("s"))
+    rest = rows.filter("known is null").select("unit", "term", "tf").join(idf, "term").select("unit", square("idf").alias("s"))
+    parts = [x.groupBy("unit").agg(F.sum("s").alias("s")) for x in (here, rest)]
+    return parts[0].unionByName(parts[1]).groupBy("unit").agg(F.sqrt(F.sum("s")).alias("norm"))
+
+
+def _weights(model: Model, query: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((document_id, term, q), (unit, term, e)) of the terms that are asked for: q * e is what a term adds to a pair's raw score."""
     config = model.config
-    query = term_counts(submissions, "document_id")
+    asked = materialise(query.select("term").distinct(), "asked")  # its size is known, so postings are thinned by it where they are made
+    postings = materialise(model.postings.join(asked, "term", "left_semi"), "asked-postings")
+    idf = materialise(_idf(postings, model.stats, config), "asked-idf")
     if config.model == "bm25":
         length = model.units.select("unit", "length").crossJoin(model.stats.select("average_length"))  # one row
         saturation = config.bm25_k1 * (1 - config.bm25_b + config.bm25_b * F.col("length") / F.col("average_length"))
-        weighted = model.postings.join(length, "unit").join(model.idf, "term")
-        weighted = weighted.select("unit", "term", (F.col("idf") * (F.col("tf") * (config.bm25_k1 + 1)) / (F.col("tf") + saturation)).alias("value"))
-        return query.select("document_id", "term").join(weighted, "term").select("document_id", "unit", "term", "value")
+        weighted = postings.join(idf, "term").join(length, "unit")
+        return query.select("document_id", "term", F.lit(1.0).alias("q")), weighted.select("unit", "term", (F.col("idf") * (F.col("tf") * (config.bm25_k1 + 1)) / (F.col("tf") + saturation)).alias("e"))
     weight = (sublinear(F.col("tf")) * F.col("idf")).alias("w")
-    left = query.join(model.idf, "term").select("document_id", "term", weight)
-    right = model.postings.join(model.idf, "term").select("unit", "term", weight)
+    left = query.join(idf, "term").select("document_id", "term", weight)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
     left = left.join(left.groupBy("document_id").agg(norm), "document_id").select("document_id", "term", (F.col("w") / F.col("norm")).alias("q"))
-    right = right.join(right.groupBy("unit").agg(norm), "unit").select("unit", "term", (F.col("w") / F.col("norm")).alias("e"))
-    return left.join(right, "term").select("document_id", "unit", "term", (F.col("q") * F.col("e")).alias("value"))
+    right = postings.join(idf, "term").select("unit", "term", weight).join(_norms(model), "unit")
+    return left, right.select("unit", "term", (F.col("w") / F.col("norm")).alias("e"))
+
+
+def _best_units(query: DataFrame, weights: DataFrame, units: DataFrame) -> DataFrame:
+    """(document_id, expert_id, unit, total): of each reviewer's units the best for each document, the earliest of equals.
+
+    Every document that is asked for is held against a unit where the unit is,
+    and a task only tells its best, so the pairs of documents and units are
+    never rows. Queries above `HELD` terms are joined instead.
+    """
+    rows = weights.join(units.select("unit", "expert_id", "ord"), "unit")
+    if query.count() > HELD:
+        raw = query.join(rows, "term").groupBy("document_id", "unit", "expert_id", "ord").agg(F.sum(F.col("q") * F.col("e")).alias("raw"))
+        part = raw.select("document_id", "expert_id", (-F.round("raw", DIGITS)).alias("key"), "ord", "unit", "raw")
+    else:
+        asked = query.toPandas()
+        names, doc = np.unique(asked["document_id"].to_numpy(object), return_inverse=True)
+        terms, term = np.unique(asked["term"].to_numpy(object), return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        doc, q = doc[order], asked["q"].to_numpy()[order]
+        counts = np.bincount(term, minlength=len(terms))
+        starts = np.cumsum(counts) - counts
+        at = query.sparkSession.createDataFrame(pd.DataFrame({"term": terms, "at": np.arange(len(terms))}), "term string, at long")
+        packed = rows.join(F.broadcast(at), "term").groupBy("unit").agg(F.first("expert_id").alias("expert_id"), F.first("ord").alias("ord"), F.collect_list("at").alias("at"), F.collect_list("e").alias("e"))
+        most = max(1, CELLS // max(1, len(names)))
+
+        def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[str, list[np.ndarray]] = {}
+            for f in frames:
+                for k in range(0, f.num_rows, most):
+                    part = f.slice(k, most)
+                    raw = _products(part.column("at"), part.column("e"), doc, q, counts, starts, len(names))
+                    _keep_best(held, raw, part)
+                    if len(held) > most:
+                        yield from _told(held, names)
+                        held = {}
+            yield from _told(held, names)
+
+        part = packed.select("unit", "expert_id", "ord", "at", "e").mapInArrow(run, "document_id string, expert_id string, key double, ord long, unit string, raw double")
+    best = part.groupBy("document_id", "expert_id").agg(F.min(F.struct("key", "ord", "unit", "raw")).alias("x"))
+    return best.select("document_id", "expert_id", F.col("x.unit").alias("unit"), F.col("x.raw").alias("total"))
+
+
+def _products(at: pa.ListArray, e: pa.ListArray, doc: np.ndarray, q: np.ndarray, counts: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Raw scores of units (rows) and documents (columns): each posting of a unit meets the documents that ask for its term."""
+    sizes = np.diff(at.offsets.to_numpy())
+    term, weight = at.flatten().to_numpy(), e.flatten().to_numpy()
+    meets = counts[term]
+    posting = np.repeat(np.arange(len(term)), meets)
+    where = np.arange(len(posting)) - np.repeat(np.cumsum(meets) - meets, meets) + starts[term][posting]
+    unit = np.repeat(np.arange(len(sizes)), sizes)
+    return np.bincount(unit[posting] * n + doc[where], weights=weight[posting] * q[where], minlength=len(sizes) * n).reshape(len(sizes), n)
+
+
+def _keep_best(held: dict[str, list[np.ndarray]], raw: np.ndarray, part: pa.RecordBatch) -> None:
+    """Put the best unit of each reviewer and document into `held`: lists of key, ord, unit and raw score by document."""
+    ords, units = part.column("ord").to_numpy(), np.array(part.column("unit").to_pylist(), object)
+    key = np.round(raw, DIGITS)
+    owners, owner = np.unique(np.array(part.column("expert_id").to_pylist(), object), return_inverse=True)
+    docs = np.arange(raw.shape[1])
+    by = np.lexsort((units.astype(str), ords, owner))
+    for name, mine in zip(owners, np.split(by, np.cumsum(np.bincount(owner))[:-1])):
+        top = mine[key[mine].argmax(axis=0)]
+        found = [key[top, docs], ords[top], units[top], raw[top, docs]]
+        if name not in held:
+            held[name] = found
+            continue
+        old = held[name]
+        better = (found[0] > old[0]) | ((found[0] == old[0]) & (found[1] < old[1]))
+        held[name] = [np.where(better, x, y) for x, y in zip(found, old)]
+
+
+def _told(held: dict[str, list[np.ndarray]], names: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for name, (key, ords, units, raw) in held.items():
+        at = np.flatnonzero(raw > 0)
+        if len(at):
+            values = {"document_id": names[at].tolist(), "expert_id": [name] * len(at), "key": -key[at], "ord": ords[at], "unit": units[at].tolist(), "raw": raw[at]}
+            yield pa.RecordBatch.from_pydict(values, schema=_TOLD)
 
 
 def score(model: Model, submissions: DataFrame, contributions: bool = False) -> DataFrame:
@@ -180,43 +286,36 @@ def score(model: Model, submissions: DataFrame, contributions: bool = False) ->
     """
     config = model.config
     _guard_pairs(config, submissions, model.reviewers)
-    values = term_values(model, submissions)
-    raw = values.groupBy("document_id", "unit").agg(F.sum("value").alias("raw"))
-    counts = model.units.groupBy("expert_id").agg(F.sum("items").alias("evidence_count"))
-    spine = submissions.select("document_id").crossJoin(model.reviewers.join(counts, "expert_id", "left"))
-    named = raw.join(model.units.select("unit", "expert_id", "evidence_id", "ord"), "unit")
+    query, weights = _weights(model, materialise(term_counts(submissions, "document_id"), "query"))
+    pair = ["document_id", "expert_id"]
     if config.aggregation == "average":
-        best = named.groupBy("document_id", "expert_id").agg(F.sum("raw").alias("total")).withColumn("evidence_id", F.lit(None).cast("string"))
+        # A mean of sums over terms is a sum over terms of means, so a reviewer's units are added up first.
+        mean = weights.join(model.units.select("unit", "expert_id"), "unit").groupBy("expert_id", "term").agg(F.sum("e").alias("e"))
+        values = query.join(mean, "term").select(*pair, "term", (F.col("q") * F.col("e")).alias("value"))
+        best = values.groupBy(*pair).agg(F.sum("value").alias("total")).withColumn("evidence_id", F.lit(None).cast("string"))
     else:
-        order = Window.partitionBy("document_id", "expert_id").orderBy(F.desc(F.round("raw", DIGITS)), "ord")
-        best = named.withColumn("place", F.row_number().over(order)).filter("place = 1").select("document_id", "expert_id", F.col("raw").alias("total"), "evidence_id", "unit")
-    out = spine.join(best, ["document_id", "expert_id"], "left").withColumn("evidence_count", F.coalesce("evidence_count", F.lit(0).cast("long")))
+        query = materialise(query, "query-weights")
+        best = _best_units(query, weights, model.units)
+        if contributions:
+            best = materialise(best, "best-units")
+            values = weights.join(best.select(*pair, "unit"), "unit").join(query, ["document_id", "term"]).select(*pair, "term", (F.col("q") * F.col("e")).alias("value"))
+        name = F.concat(F.lit("aggregate:"), "expert_id") if config.aggregation == "aggregate" else F.col("unit")
+        best = best.select(*pair, "total", name.alias("evidence_id"))
+    counts = model.units.groupBy("expert_id").agg(F.sum("items").alias("evidence_count"), F.count("*").alias("n"), F.min_by("evidence_id", "ord").alias("first_id"))
+    spine = submissions.select("document_id").crossJoin(model.reviewers.join(counts, "expert_id", "left"))
+    out = spine.join(best, pair, "left").withColumn("evidence_count", F.coalesce("evidence_count", F.lit(0).cast("long")))
     total = F.coalesce("total", F.lit(0.0))
-    total = total / F.greatest(F.col("evidence_count"), F.lit(1)) if config.aggregation == "average" else total
-    out = out.withColumn("raw_score", total)
+    out = out.withColumn("raw_score", total / F.greatest(F.col("evidence_count"), F.lit(1)) if config.aggregation == "average" else total)
     # Without a match every item's score is 0, and the first one is the best.
-    first = model.units.withColumn("place", F.row_number().over(Window.partitionBy("expert_id").orderBy("ord"))).filter("place = 1").select("expert_id", F.col("evidence_id").alias("first_id"))
-    selected = F.lit(None).cast("string")
-    if config.aggregation != "average":
-        out = out.join(first, "expert_id", "left")
-        selected = F.coalesce("evidence_id", "first_id")
+    selected = F.lit(None).cast("string") if config.aggregation == "average" else F.coalesce("evidence_id", "first_id")
     squashed = F.col("raw_score") if config.model == "tfidf" else F.col("raw_score") / (1 + F.col("raw_score"))
-    columns = ["document_id", "expert_id", unit(squashed).alias("score"), "raw_score", "evidence_count", selected.alias("selected_evidence_id")]
-    out = out.select(*columns)
+    out = out.select(*pair, unit(squashed).alias("score"), "raw_score", "evidence_count", selected.alias("selected_evidence_id"))
     if not contributions:
         return out
-    return out.join(_contributions(model, values, best), ["document_id", "expert_id"], "left")
-
-
-def _contributions(model: Model, values: DataFrame, best: DataFrame) -> DataFrame:
-    if model.config.aggregation == "average":
-        counts = model.units.groupBy("expert_id").agg(F.count("*").alias("n"))
-        rows = values.join(model.units.select("unit", "expert_id"), "unit").groupBy("document_id", "expert_id", "term").agg(F.sum("value").alias("value"))
-        rows = rows.join(counts, "expert_id").select("document_id", "expert_id", "term", (F.col("value") / F.col("n")).alias("value"))
-    else:
-        rows = values.join(best.select("document_id", "expert_id", "unit"), ["document_id", "unit"]).select("document_id", "expert_id", "term", "value")
+    if config.aggregation == "average":
+        values = values.join(counts.select("expert_id", "n"), "expert_id").select(*pair, "term", (F.col("value") / F.col("n")).alias("value"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), "term"))), lambda x: F.struct(x["term"].alias("term"), (-x["v"]).alias("value")))
-    return rows.groupBy("document_id", "expert_id").agg(listed.alias("contributions"))
+    return out.join(values.groupBy(*pair).agg(listed.alias("contributions")), pair, "left")
 
 
 def _guard_pairs(config: ExpertiseConfig, submissions: DataFrame, reviewers: DataFrame) -> None:
@@ -272,8 +371,7 @@ def load_model(spark, path: str, config: ExpertiseConfig) -> Model:
     stats = t["units"].agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("a"))
     if stats.crossJoin(t["stats"]).filter("n <> n_units or abs(a - average_length) > 1e-12").count():
         raise DataValidationError("the model's unit statistics disagree with its units")
-    rule = smooth_idf if config.model == "tfidf" else robertson_idf
-    again = document_frequencies(t["postings"]).crossJoin(t["stats"].select("n_units")).select("term", rule(F.col("n_units"), F.col("df")).alias("again"))
+    again = _idf(t["postings"], t["stats"], config).select("term", F.col("idf").alias("again"))
     if not again.join(t["idf"], "term", "full").filter("again is null or idf is null or abs(again - idf) > 1e-12").isEmpty():
         raise DataValidationError("the model's IDF disagrees with its postings")
     return Model(t["postings"], t["units"], t["idf"], t["stats"], t["reviewers"], config)

@@ -125,3 +125,25 @@ def test_a_stream_scores_as_a_batch(spark, tmp_path):
     score_stream(stream, model, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(120)
     got = spark.read.parquet(f"{tmp_path}/out").select("document_id", "expert_id", "score").collect()
     assert sorted(got) == sorted(x.emitted(x.score(model, c.submissions), config).collect()) and got
+
+
+@pytest.mark.parametrize("model", ["tfidf", "bm25"])
+def test_best_items_are_found_inside_the_tasks(spark, monkeypatch, model):
+    """Pieces of any size, flushed or not, tell the same best items as a join of all pairs; the earliest of equals wins."""
+    words = ["alpha", "beta", "gamma", "delta", "zeta"]
+    d = documents(spark, *[{"document_id": f"s{i}", "title": f"{words[i]} {words[(i + 1) % 5]} {'unknown' * (i % 2)}"} for i in range(5)])
+    e = experts(spark, *[{"expert_id": f"r{i}", "publications": [paper(f"{words[(i + k // 2) % 5]} {words[k % 5]}", id=f"p{k}") for k in range(12)]} for i in range(7)])
+    config = ExpertiseConfig(model=model, aggregation="max")
+    corpus = x.build_corpus(d, e, config)
+    fitted = x.fit(corpus.evidence, corpus.reviewers, config)
+    query, weights = x._weights(fitted, x.term_counts(corpus.submissions, "document_id"))
+    found = []
+    for held, cells in ((x.HELD, x.CELLS), (x.HELD, 10), (0, x.CELLS)):
+        monkeypatch.setattr(x, "HELD", held)
+        monkeypatch.setattr(x, "CELLS", cells)
+        found.append({(r.document_id, r.expert_id): (r.unit, round(r.total, 9)) for r in x._best_units(query, weights, fitted.units).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 20
+    monkeypatch.setattr(x, "COMMON", 2)
+    few = {r.unit: r.norm for r in x._norms(fitted).collect()}
+    monkeypatch.setattr(x, "COMMON", 1000)
+    assert few == pytest.approx({r.unit: r.norm for r in x._norms(fitted).collect()})
