@@ -7,15 +7,17 @@ shuffle. `cooccurrence_edges` and `term_counts_of` are the relational form.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbiter.config import KeyphraseConfig
 from arbiter.functions.text import casefold, once, safe_term, sentences, tokens_of_folded
 from arbiter.schemas import refuse, unique
+from arbiter.storage import materialise
 
 RECORD = "kind string, owner_id string, evidence_id string, token_count long, keyphrases array<struct<term:string,score:double>>"
 
@@ -45,11 +47,27 @@ def tokenised(texts: DataFrame, *keys: str, text_col: str = "text") -> DataFrame
 
 
 def cooccurrence_edges(texts: DataFrame, *keys: str, window_size: int = 2, text_col: str = "text") -> DataFrame:
-    """(keys, left, right), left < right: distinct pairs of terms that stand in one window of a sentence."""
-    s = tokenised(texts, *keys, text_col=text_col).select(*keys, F.explode("lines").alias("t"))
-    pairs = [F.arrays_zip(F.col("t").alias("a"), F.slice("t", k + 1, F.size("t")).alias("b")) for k in range(1, window_size)]
-    e = s.select(*keys, F.explode(F.concat(*pairs)).alias("e")).filter("e.b is not null and e.a <> e.b")
-    return e.select(*keys, F.least("e.a", "e.b").alias("left"), F.greatest("e.a", "e.b").alias("right")).distinct()
+    """(keys, left, right), left < right: distinct pairs of terms that stand in one window of a sentence.
+
+    A text's pairs are made distinct where it is read. Only the pairs of keys
+    that several texts have are shuffled.
+    """
+
+    def pairs(line: Column, k: int) -> Column:
+        n = F.greatest(F.size(line) - k, F.lit(0))
+        joined = lambda a, b: F.when(a != b, F.concat(F.least(a, b), F.lit(" "), F.greatest(a, b)))
+        return F.zip_with(F.slice(line, 1, n), F.slice(line, k + 1, n), joined)
+
+    def edges(rows: DataFrame) -> DataFrame:
+        every = F.flatten(F.transform("lines", lambda t: F.concat(F.array().cast("array<string>"), *[pairs(t, k) for k in range(1, window_size)])))
+        e = tokenised(rows, *keys, text_col=text_col).select(*keys, F.explode(F.array_distinct(F.filter(every, lambda x: x.isNotNull()))).alias("e"))
+        return e.select(*keys, F.substring_index("e", " ", 1).alias("left"), F.substring_index("e", " ", -1).alias("right"))  # no term has a space
+
+    repeated = materialise(texts.groupBy(*keys).count().filter("count > 1").select(*[F.col(k).alias(f"r_{k}") for k in keys]), "repeated")
+    if repeated.isEmpty():
+        return edges(texts)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys])
+    return edges(texts.join(repeated, same, "left_anti")).unionByName(edges(texts.join(repeated, same, "left_semi")).distinct())
 
 
 def pagerank(n: int, left: np.ndarray, right: np.ndarray, damping: float, iterations: int) -> np.ndarray:

@@ -120,3 +120,15 @@ def test_centroid_training_scoring_and_checkpoints(spark):
         centroid.train(row("d1", "e1", "e2"), row("d1", "e2", "e1"), d, e)
     with pytest.raises(DataValidationError, match="vocabulary"):
         centroid.score(model, spark.createDataFrame([("q", ["unseen"])], d.schema), e)
+
+
+def test_edges_of_texts_with_keys_of_their_own_are_not_shuffled(spark):
+    rows = [(1, "alpha beta gamma. beta alpha"), (2, "beta alpha delta"), (None, "alpha zeta")]
+    table = lambda r: spark.createDataFrame(r, "k int, text string")
+    edges = lambda r: keyphrases.cooccurrence_edges(table(r), "k", window_size=3)
+    found = edges(rows)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [(1, "alpha", "beta"), (1, "alpha", "gamma"), (1, "beta", "gamma"), (2, "alpha", "beta"), (2, "alpha", "delta"), (2, "beta", "delta"), (None, "alpha", "zeta")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    again = edges([*rows, (1, "gamma alpha eta"), (None, "zeta alpha")])
+    assert sorted(map(tuple, again.collect()), key=str) == sorted([*want, (1, "alpha", "eta"), (1, "eta", "gamma")], key=str)
